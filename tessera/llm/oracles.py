@@ -36,4 +36,33 @@ FROM failed
     limits=" OR ".join(f"100 * dup_{n} > {most} * word_chars" for n, most in GRAM_LIMITS.items()),
 )
 
-SQL = {"op1_quality_rules": QUALITY}
+MIXING = r"""
+WITH RECURSIVE d AS (SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::BIGINT AS size,
+               md5('7:' || coalesce(doc_id::VARCHAR, '')) AS place FROM documents),
+total AS (SELECT sum(size)::DOUBLE AS words, greatest(1, ceil(sum(size) / 8388608))::BIGINT AS shards, round(sum(size) / 32)::BIGINT AS blocks FROM d),
+s AS (SELECT source, size AS source_size, row_number() OVER (ORDER BY source NULLS LAST) - 1 AS turn FROM (SELECT source, sum(size)::DOUBLE AS size FROM d GROUP BY source)),
+w AS (SELECT *, ([5, 2, 1])[turn % 3 + 1]::DOUBLE AS weight FROM s),
+-- each step fills the sources that are above three times their size
+fill AS (
+  SELECT 0 AS step, []::BIGINT[] AS filled, (SELECT words FROM total) / (SELECT sum(weight) FROM w) AS level
+  UNION ALL
+  SELECT step + 1, f, ((SELECT words FROM total) - coalesce((SELECT sum(3 * source_size) FROM w WHERE list_contains(f, turn)), 0)) / (SELECT sum(weight) FROM w WHERE NOT list_contains(f, turn))
+  FROM (SELECT step, filled, level, (SELECT coalesce(list(turn ORDER BY turn), []) FROM w WHERE 3 * source_size < level * weight OR list_contains(filled, turn)) AS f FROM fill)
+  WHERE len(f) > len(filled)),
+level AS (SELECT level, filled FROM fill ORDER BY step DESC LIMIT 1),
+t AS (SELECT w.*, round(CASE WHEN list_contains(filled, turn) THEN 3 * source_size ELSE level * weight END, 6) AS target FROM w, level),
+q AS (SELECT turn, target / (2 * seat + 1) AS quotient, seat FROM t, total, range(0, (SELECT blocks FROM total)) AS r(seat) WHERE target > 0),
+won AS (SELECT turn, count(*) AS quota FROM (SELECT turn FROM q ORDER BY quotient DESC, turn, seat LIMIT (SELECT blocks FROM total)) GROUP BY turn),
+sharded AS (SELECT d.*, turn, source_size, target, ('0x' || substr(place, 1, 8))::BIGINT % shards AS shard FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source, total),
+pile AS (SELECT turn, shard, sum(size) AS pile FROM sharded GROUP BY turn, shard),
+pq AS (SELECT turn, shard, seat, quota, row_number() OVER (PARTITION BY turn ORDER BY pile / (2 * seat + 1) DESC, shard, seat) AS nth
+       FROM pile JOIN won USING (turn), range(0, (SELECT max(quota) FROM won)) AS r(seat) WHERE pile > 0 AND seat < quota),
+pwon AS (SELECT turn, shard, count(*) AS quota FROM pq WHERE nth <= quota GROUP BY turn, shard),
+wanted AS (SELECT turn, shard, pile, least(coalesce(quota, 0) * 32, 3 * pile)::BIGINT AS wanted FROM pile LEFT JOIN pwon USING (turn, shard)),
+placed AS (SELECT *, sum(size) OVER (PARTITION BY turn, shard ORDER BY place, doc_id, size ROWS UNBOUNDED PRECEDING) - size AS before FROM sharded)
+SELECT doc_id, size, source_size::BIGINT AS source_size, target,
+       (CASE WHEN pile > 0 THEN wanted // pile * size + greatest(0, least(size, wanted % pile - before)) ELSE 0 END)::BIGINT AS taken
+FROM placed JOIN wanted USING (turn, shard)
+"""
+
+SQL = {"op1_quality_rules": QUALITY, "op7_mix_sources": MIXING}
