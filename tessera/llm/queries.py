@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm import decontam, html_main, langid, mixing, oracles, quality, simhash, toxicity
+from tessera.llm import decontam, html_main, langid, mixing, oracles, quality, simhash, suffix_array, suffix_tree, toxicity
 from tessera.llm.common import fold, table
 
 
@@ -36,6 +36,16 @@ def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.scored(docs, model).select("doc_id", (fold(5) == 0).alias("held_out"), "score", "predicted", "evidence")
 
 
+def op6_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = suffix_array.deduplicated(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return found.select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
+
+
+def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = suffix_tree.deduplicated(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return found.select("doc_id", "n_words", "n_removed", "kept_sha256")
+
+
 def op7_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = mixing.mixed(table(spark, sf_dir, "documents").select("doc_id", "text", "source"))
     return found.select("doc_id", "size", "source_size", "target", "taken")
@@ -52,9 +62,11 @@ QUERIES = {
         op2_simhash_dedup,
         op4_html_main_text,
         op5_language_id,
+        op6_suffix_array_dedup,
         op7_mix_sources,
         op8_toxicity,
         op9_decontaminate,
+        op10_substring_dedup,
     )
 }
 ORACLES = oracles.SQL
