@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm import decontam, html_main, langid, mixing, oracles, quality, simhash, suffix_array, suffix_tree, toxicity
+from tessera.llm import decontam, html_main, langid, lattice_lm, mixing, oracles, quality, simhash, suffix_array, suffix_tree, toxicity
 from tessera.llm.common import fold, table
 
 
@@ -19,6 +19,11 @@ def op2_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def op3_lattice_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = lattice_lm.scored(table(spark, sf_dir, "documents").select("doc_id", "text"), fold(7) != 2)
+    return found.select("doc_id", (~F.col("train")).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
+
+
 def op4_html_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_main.extracted(table(spark, sf_dir, "pages").select("page_id", "url", "html"))
 
@@ -60,6 +65,7 @@ QUERIES = {
     for f in (
         op1_quality_rules,
         op2_simhash_dedup,
+        op3_lattice_lm,
         op4_html_main_text,
         op5_language_id,
         op6_suffix_array_dedup,
