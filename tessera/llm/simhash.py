@@ -101,16 +101,14 @@ def links(fps: DataFrame, distance: int = 4, segments: int | None = None) -> Dat
     if segments is None:
         n = fps.count()
         segments = next((m for most, m in SEGMENTS.items() if n <= most), 2)
-    radius, probes = distance // segments, []
+    rows = None
     for s in range(segments):
         low, high = 64 * s // segments, 64 * (s + 1) // segments
-        masks = [sum(1 << b for b in bits) for r in range(1, radius + 1) for bits in itertools.combinations(range(high - low), r)]
-        value = F.shiftrightunsigned("fp", low).bitwiseAND((1 << (high - low)) - 1)
-        ball = F.filter(F.transform(F.array(*map(F.lit, masks)).cast("array<long>"), lambda m, v=value: v.bitwiseXOR(m)), lambda x, v=value: x > v) if masks else F.array().cast("array<long>")
-        probes.append(fps.select(F.explode(F.concat(F.array(value), ball)).alias("value"), "fp").select((F.col("value") * 8 + s).alias("key"), "fp"))
-    rows = probes[0]
-    for more in probes[1:]:
-        rows = rows.union(more)
+        masks = [sum(1 << b for b in bits) for r in range(distance // segments + 1) for bits in itertools.combinations(range(high - low), r)]
+        own = fps.select("fp", F.shiftrightunsigned("fp", low).bitwiseAND((1 << (high - low)) - 1).alias("own"))
+        ball = F.transform(F.array(*map(F.lit, masks)).cast("array<long>"), lambda mask: F.col("own").bitwiseXOR(mask))
+        looked = own.select(F.explode(F.filter(ball, lambda value: value >= F.col("own"))).alias("value"), "fp").select((F.col("value") * 8 + s).alias("key"), "fp")
+        rows = looked if rows is None else rows.union(looked)
 
     def run(batches):
         keys, held = np.empty(0, dtype=np.int64), np.empty(0, dtype=np.uint64)
