@@ -28,6 +28,8 @@ DROPPED = frozenset("head nav footer aside form button dialog menu datalist fiel
 BLOCK = frozenset(
     "address article aside blockquote body center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr html li main menu nav ol p pre section summary table tbody td tfoot th thead tr ul caption".split()
 )
+#: Parts of a text, never its container.
+INNER = frozenset("p pre li ul ol dl dt dd blockquote h1 h2 h3 h4 h5 h6 hgroup table caption thead tbody tfoot tr td th figure figcaption details summary".split())
 CLOSES = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th"), "option": ("option",)}
 SCOPE = {"li": ("ul", "ol", "menu"), "dt": ("dl",), "dd": ("dl",), "tr": ("table",), "td": ("tr", "table"), "th": ("tr", "table"), "option": ("select",)}
 NOT_ARTICLE = frozenset(
@@ -179,7 +181,9 @@ def main_text(page: str | None) -> str:
     nodes: dict[int, Node] = {}
     for home, text in found:
         points = 1 + text.count(",") + min(len(text) / 100, 3)
-        node, level = (home.parent if home.tag in ("p", "pre", "li", "blockquote", "h1", "h2", "h3", "h4", "h5", "h6", "td", "dd", "dt", "figcaption") and home.parent else home), 0
+        node, level = home, 0
+        while node.tag in INNER and node.parent is not None:
+            node = node.parent
         while node is not None:
             node.points += points / (1, 2, 6, 9, 12)[min(level, 4)]
             nodes[id(node)] = node

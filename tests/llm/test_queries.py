@@ -1,0 +1,30 @@
+from collections import Counter
+
+import duckdb
+import pytest
+
+import __spark_entry__ as entry
+
+SF = "/root/testdata/sf0.001"
+TABLES = "documents embeddings pages benchmark labels conversations".split()
+
+
+@pytest.mark.parametrize("name", sorted(n for n in entry.oracle_sql() if n.startswith("op")))
+def test_query_equals_its_sql(spark, name):
+    con = duckdb.connect()
+    for t in TABLES:
+        con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{SF}/{t}.parquet'")
+    found = entry.queries()[name](spark, SF)
+    want = con.execute(entry.oracle_sql()[name])
+    columns = [c[0] for c in want.description]
+    assert sorted(found.columns) == sorted(columns)
+    assert Counter(map(tuple, found.select(*columns).collect())) == Counter(want.fetchall())
+
+
+def test_pipeline(spark):
+    import corpus_pipeline
+
+    rows = corpus_pipeline.run(spark, SF).collect()
+    before = spark.read.parquet(f"{SF}/documents.parquet").count()
+    assert 0 < len(rows) < before
+    assert len({r["doc_id"] for r in rows}) == len(rows)
