@@ -1,12 +1,17 @@
 """SimHash near-duplicates by multi-index hashing.
 
-A fingerprint has a bit set where over half of the text's shingle hashes have it. Equal
-fingerprints are merged first. The 64 bits are cut into segments; if two fingerprints differ in at
-most `distance` bits, then in one segment they differ in at most distance // segments. Each
-fingerprint is looked up under every value of that small ball around each of its segments (of the
-two, the one with the smaller segment value looks up the other), and complete distances verify what meets.
-The number of segments is taken from the number of fingerprints: the more there are, the longer
-the segments, so that chance meetings stay few at any size.
+A fingerprint has a bit set where over half of the text's shingle hashes have it; more than 64 bits
+are drawn by mixing each hash further. Equal fingerprints are merged first. The bits are cut into
+segments, each looked up under every value of a small Hamming ball around it (of two fingerprints the
+one with the smaller segment value looks up the other), and complete distances verify what meets.
+
+With 64 bits the scheme is exact: fingerprints that differ in at most `distance` bits differ in at most
+distance // segments bits of some segment. The number of segments is taken from the number of
+fingerprints: the more there are, the longer the segments, so that chance meetings stay few.
+
+Wide fingerprints serve to find texts by similarity. The share of bits in which two of them agree is
+1 - arccos(cosine of their shingles) / pi, so a similarity has its distance; the segments are many and
+short enough that texts as similar as asked meet in one of them with high probability.
 
 Defined results: a null or empty text has fingerprint zero and links like any other; rows that
 repeat share fingerprint and component; a null doc_id is never a component's name unless all are null.
@@ -15,6 +20,7 @@ repeat share fingerprint and component; a null doc_id is never a component's nam
 from __future__ import annotations
 
 import itertools
+import math
 
 import numpy as np
 import pyarrow as pa
@@ -22,114 +28,160 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import encoded, stored
+from tessera.llm.common import U64, encoded, mix, stored
 from tessera.llm.components import components
 
 SEED = 42
-#: Fingerprints up to which so many segments are used; two beyond.
+#: Fingerprints up to which 64 bits are cut into so many segments; into two beyond.
 SEGMENTS = {1 << 24: 3}
+#: Bits of wide fingerprints. Fingerprints up to which their segments have so many bits and a ball of such a radius.
+WIDE = 512
+WIDE_SEGMENTS = {1 << 18: (16, 0), 1 << 22: (19, 1), 1 << 62: (24, 1)}
 #: Up to so many rows under one key all pairs are compared; above, a search that drops what it has reached.
-SMALL = 16
+SMALL = 32
+
+
+def bit_sums(hashes: np.ndarray) -> np.ndarray:
+    out = np.zeros(64, dtype=np.int64)
+    for at in range(0, len(hashes), 1 << 14):
+        rows = hashes[at : at + (1 << 14)].astype(">u8").view(np.uint8).reshape(-1, 8)
+        out += np.unpackbits(rows, axis=1).sum(axis=0, dtype=np.int64)
+    return out
 
 
-def fingerprint(text: bytes, width: int) -> int:
+def fingerprint(text: bytes, width: int, bits: int = 64) -> list[int]:
+    """Words of 64 bits each, as signed numbers."""
     words = text.lower().split()  # bytes.lower() changes A-Z only
     if not words:
-        return 0
+        return [0] * (bits // 64)
     runs = zip(*(words[i:] for i in range(width)), strict=False) if len(words) > width else [words]
     digest = xxhash.xxh64_digest
-    hashes = np.frombuffer(b"".join([digest(b" ".join(run), SEED) for run in runs]), dtype=np.uint8).reshape(-1, 8)
-    set_bits = np.zeros(64, dtype=np.int64)
-    for at in range(0, len(hashes), 1 << 14):
-        set_bits += np.unpackbits(hashes[at : at + (1 << 14)], axis=1).sum(axis=0, dtype=np.int64)
-    return int.from_bytes(np.packbits(2 * set_bits > len(hashes)).tobytes(), "big", signed=True)
+    hashes = np.frombuffer(b"".join([digest(b" ".join(run), SEED) for run in runs]), dtype=">u8").astype(U64)
+    sums = [bit_sums(hashes if i == 0 else mix(hashes + U64(i))) for i in range(bits // 64)]
+    return [int.from_bytes(np.packbits(2 * s > len(hashes)).tobytes(), "big", signed=True) for s in sums]
 
 
-def fingerprints(docs: DataFrame, width: int = 4, text: str = "text") -> DataFrame:
-    """The columns of docs without the text, and fp: the fingerprint as a signed long."""
+def fingerprints(docs: DataFrame, width: int = 4, bits: int = 64, text: str = "text") -> DataFrame:
+    """The columns of docs without the text, and fp: the fingerprint's 64-bit words."""
     kept = [c for c in docs.columns if c not in (text, "fp")]
-    schema = docs.select(*kept).schema.add("fp", "long")
+    schema = docs.select(*kept, F.array(F.lit(0).cast("long")).alias("fp")).schema
 
     def run(batches):
         for batch in batches:
-            found = [fingerprint(t, width) for t in encoded(batch.column(batch.num_columns - 1))]
-            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(found, pa.int64())], [*kept, "fp"])
+            found = [fingerprint(t, width, bits) for t in encoded(batch.column(batch.num_columns - 1))]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(found, pa.list_(pa.int64()))], [*kept, "fp"])
 
-    return docs.select(*kept, F.col(text)).mapInArrow(run, schema)
+    return docs.select(*kept, F.col(text).cast("string")).mapInArrow(run, schema)
 
 
-def near_in_group(fps: np.ndarray, distance: int) -> list[tuple[int, int]]:
+def differing(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    return np.bitwise_count(a ^ b).sum(axis=-1, dtype=np.int64)
+
+
+def near_in_group(nodes: np.ndarray, fps: np.ndarray, distance: int) -> tuple[list[np.ndarray], list[np.ndarray]]:
     """Links that connect all fingerprints of a large group within the distance: a breadth-first
     search in which each step compares with what has not been reached yet."""
-    left = np.unique(fps)
-    links = []
+    nodes, first = np.unique(nodes, return_index=True)
+    fps, left, one, other = fps[first], np.arange(1, len(first)), [], []
+    queue = [0]
     while len(left):
-        queue, left = [left[0]], left[1:]
-        while queue and len(left):
-            x = queue.pop()
-            near = np.bitwise_count(left ^ x) <= distance
-            found = left[near]
-            links += zip(itertools.repeat(int(x)), found.tolist())
-            queue.extend(found)
+        if not queue:
+            queue, left = [int(left[0])], left[1:]
+            continue
+        x = queue.pop()
+        near = differing(fps[left], fps[x]) <= distance
+        found = left[near]
+        if len(found):
+            one.append(np.full(len(found), nodes[x]))
+            other.append(nodes[found])
+            queue.extend(found.tolist())
             left = left[~near]
-    return links
+    return one, other
 
 
-def verified(keys: np.ndarray, fps: np.ndarray, distance: int):
-    """Pairs of rows sorted by key that share a key and lie within the distance."""
+def verified(keys: np.ndarray, nodes: np.ndarray, fps: np.ndarray, distance: int):
+    """Links between nodes of rows, sorted by key, that share a key and lie within the distance."""
     bounds = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1], [True]]))
     sizes = np.diff(bounds)
-    small = np.repeat(sizes <= SMALL, sizes)
-    for step in range(1, SMALL):
-        if step >= len(keys):
-            break
-        same = (keys[step:] == keys[:-step]) & small[step:] & small[:-step]
-        if not same.any():
+    small, one, other = np.repeat(sizes <= SMALL, sizes), [], []
+    for step in range(1, min(SMALL, len(keys))):
+        at = np.flatnonzero((keys[step:] == keys[:-step]) & small[step:])
+        if not len(at):
             break
-        a, b = fps[:-step][same], fps[step:][same]
-        near = np.bitwise_count(a ^ b) <= distance
-        yield a[near].view(np.int64), b[near].view(np.int64)
+        at = at[differing(fps[at], fps[at + step]) <= distance]
+        one.append(nodes[at])
+        other.append(nodes[at + step])
     for g in np.flatnonzero(sizes > SMALL):
-        links = near_in_group(fps[bounds[g] : bounds[g + 1]], distance)
-        if links:
-            pairs = np.array(links, dtype=np.uint64).view(np.int64)
-            yield pairs[:, 0], pairs[:, 1]
+        a, b = near_in_group(nodes[bounds[g] : bounds[g + 1]], fps[bounds[g] : bounds[g + 1]], distance)
+        one += a
+        other += b
+    if one:
+        a, b = np.concatenate(one), np.concatenate(other)
+        yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], ["a", "b"])
 
 
-def links(fps: DataFrame, distance: int = 4, segments: int | None = None) -> DataFrame:
-    """Links (a, b) between different fingerprints of the one-column table that connect all within the distance."""
-    if segments is None:
-        n = fps.count()
-        segments = next((m for most, m in SEGMENTS.items() if n <= most), 2)
+def looked_up(distinct: DataFrame, segments: list[tuple[int, int]], radius: int) -> DataFrame:
+    """(key, node, fp) of each segment's values; a segment is (first bit, bits) and lies in one word."""
     rows = None
-    for s in range(segments):
-        low, high = 64 * s // segments, 64 * (s + 1) // segments
-        masks = [sum(1 << b for b in bits) for r in range(distance // segments + 1) for bits in itertools.combinations(range(high - low), r)]
-        own = fps.select("fp", F.shiftrightunsigned("fp", low).bitwiseAND((1 << (high - low)) - 1).alias("own"))
+    for s, (first, size) in enumerate(segments):
+        masks = [sum(1 << b for b in bits) for r in range(radius + 1) for bits in itertools.combinations(range(size), r)]
+        word = F.element_at("fp", first // 64 + 1)
+        own = distinct.select("node", "fp", F.shiftrightunsigned(word, first % 64).bitwiseAND((1 << size) - 1).alias("own"))
         ball = F.transform(F.array(*map(F.lit, masks)).cast("array<long>"), lambda mask: F.col("own").bitwiseXOR(mask))
-        looked = own.select(F.explode(F.filter(ball, lambda value: value >= F.col("own"))).alias("value"), "fp").select((F.col("value") * 8 + s).alias("key"), "fp")
-        rows = looked if rows is None else rows.union(looked)
+        found = own.select(F.explode(F.filter(ball, lambda value: value >= F.col("own"))).alias("value"), "node", "fp").select((F.col("value") * len(segments) + s).alias("key"), "node", "fp")
+        rows = found if rows is None else rows.union(found)
+    return rows
+
+
+def links(distinct: DataFrame, distance: int, bits: int = 64) -> DataFrame:
+    """Links (a, b) between nodes of (node, fp) that connect what the segments bring together within the distance."""
+    n = distinct.count()
+    if bits == 64:
+        count = next((m for most, m in SEGMENTS.items() if n <= most), 2)
+        cuts = [64 * s // count for s in range(count + 1)]
+        segments, radius = [(a, b - a) for a, b in zip(cuts, cuts[1:], strict=False)], distance // count
+    else:
+        size, radius = next(v for most, v in WIDE_SEGMENTS.items() if n <= most)
+        segments = [(w * 64 + s * size, size) for w in range(bits // 64) for s in range(64 // size)]
 
     def run(batches):
-        keys, held = np.empty(0, dtype=np.int64), np.empty(0, dtype=np.uint64)
+        keys, nodes, fps = np.empty(0, dtype=np.int64), np.empty(0, dtype=np.int64), np.empty((0, bits // 64), dtype=U64)
         for batch in itertools.chain(batches, [None]):
-            if batch is not None:
+            if batch is not None and batch.num_rows:
                 keys = np.concatenate([keys, batch.column(0).to_numpy()])
-                held = np.concatenate([held, batch.column(1).to_numpy().view(np.uint64)])
+                nodes = np.concatenate([nodes, batch.column(1).to_numpy()])
+                fps = np.concatenate([fps, batch.column(2).flatten().to_numpy().view(U64).reshape(-1, bits // 64)])
             # the last key may go on in the next batch
             cut = len(keys) if batch is None else int(np.searchsorted(keys, keys[-1])) if len(keys) else 0
-            for a, b in verified(keys[:cut], held[:cut], distance) if cut else ():
-                yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], ["a", "b"])
-            keys, held = keys[cut:], held[cut:]
+            if cut:
+                yield from verified(keys[:cut], nodes[:cut], fps[:cut], distance)
+                keys, nodes, fps = keys[cut:], nodes[cut:], fps[cut:]
 
+    rows = looked_up(distinct, segments, radius)
     return rows.repartition("key").sortWithinPartitions("key").mapInArrow(run, "a long, b long").where("a <> b").distinct()
 
 
-def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", width: int = 4, distance: int = 4) -> DataFrame:
+def distance_of(similarity: float, bits: int = WIDE) -> int:
+    """Bits in which fingerprints of texts differ whose shingle sets have this Jaccard similarity."""
+    return round(bits * math.acos(2 * similarity / (1 + similarity)) / math.pi)
+
+
+def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", width: int = 4, distance: int = 4, bits: int = 64) -> DataFrame:
     """One row per document: its other columns, fp and component_id, the least doc_id reachable over links."""
-    marked = stored(fingerprints(docs, width, text))
-    distinct = stored(marked.groupBy("fp").agg(F.min(doc_id).alias("least_id")))
-    found = components(links(distinct.select("fp"), distance))
-    rooted = distinct.join(found, distinct["fp"] == found["node"], "left").select("fp", "least_id", F.coalesce("root", "fp").alias("root"))
-    named = rooted.join(rooted.groupBy("root").agg(F.min("least_id").alias("component_id")), "root").select("fp", "component_id")
-    return marked.join(named, "fp")
+    marked = stored(fingerprints(docs, width, bits, text).withColumn("node", F.xxhash64("fp") if bits > 64 else F.element_at("fp", 1)))
+    distinct = stored(marked.groupBy("node").agg(F.min(doc_id).alias("least_id"), F.first("fp").alias("fp")))
+    found = components(links(distinct.select("node", "fp"), distance, bits)).withColumnRenamed("node", "linked")
+    rooted = distinct.join(found, distinct["node"] == found["linked"], "left").select("node", "least_id", F.coalesce("root", "node").alias("root"))
+    named = rooted.join(rooted.groupBy("root").agg(F.min("least_id").alias("component_id")), "root").select("node", "component_id")
+    return marked.join(named, "node").drop("node")
+
+
+def representatives(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", width: int = 5, similarity: float = 0.8, bits: int = WIDE) -> DataFrame:
+    """The documents left when one of each group of near-duplicates stays: of the least doc_id, and of rows
+    that share it the one with the least text (a null text first). Their columns are those of docs."""
+    keyed = docs.withColumn("_row", F.xxhash64(doc_id, text))
+    found = near_duplicates(keyed.select(doc_id, "_row", text), doc_id, text, width, distance_of(similarity, bits), bits)
+    chosen = found.groupBy("component_id").agg(F.min(F.struct(F.col(doc_id).isNull().alias("none"), F.col(doc_id).alias("id"), F.col("_row").alias("row"))).alias("least"))
+    rows = chosen.select(F.col("least.row").alias("_row")).distinct()
+    # rows that repeat in full share the key: one of them stays
+    return keyed.join(rows, "_row", "left_semi").dropDuplicates(["_row"]).select(*docs.columns)
