@@ -31,7 +31,10 @@ def saturated(value: Column, to: str) -> Column:
     bits, signed, kind = INTEGERS[to]
     low, high = (-(1 << bits - 1), (1 << bits - 1) - 1) if signed else (0, (1 << bits) - 1)
     value = value.cast("double")
-    inside = F.when(value < 0, F.ceil(value)).otherwise(F.floor(value)) if bits < 64 else value - value % 1.0
+    inside = F.when(value < 0, F.ceil(value)).otherwise(F.floor(value)) if bits < 64 else value
+    if kind == "decimal(20,0)":  # a decimal made from a double has 17 digits, two halves have them all
+        upper = F.floor(value / float(1 << 32))
+        inside = upper.cast(kind) * F.lit(1 << 32).cast(kind) + F.floor(value - upper * float(1 << 32)).cast(kind)
     limit = lambda n: F.lit(str(n)).cast(kind)
     return F.when(F.isnan(value), limit(0)).when(value >= float(high), limit(high)).when(value <= float(low), limit(low)).otherwise(inside.cast(kind))
 
