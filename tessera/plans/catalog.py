@@ -34,3 +34,17 @@ def named_axes(axes: DataFrame, scales: DataFrame) -> DataFrame:
     spare = found.withColumn("nth", nth)
     made = spare.where("scale is null").select("length", "nth").distinct().withColumn("made", F.row_number().over(Window.orderBy("length", "nth")) - 1)
     return spare.join(made, ["length", "nth"], "left").select("variable", "axis", "length", F.coalesce("scale", F.concat(F.lit("phony_dim_"), F.col("made").cast("string"))).alias("dimension"))
+
+
+def coordinates(listed: DataFrame, scales: DataFrame) -> DataFrame:
+    """(variable, axis, dimension) of variables whose list of dimension ids (variable, axis, id) is all known: one unknown id and the list says nothing."""
+    found = listed.join(scales.select("id", F.col("name").alias("dimension")), "id", "left")
+    whole = found.groupBy("variable").agg(F.count("*").alias("rank"), F.count("dimension").alias("known")).where("rank = known").select("variable")
+    return found.join(whole, "variable", "left_semi").select("variable", "axis", "dimension")
+
+
+def resolved(descriptors: DataFrame, heap: DataFrame) -> DataFrame:
+    """Descriptors (..., collection, item, length) with the value each points at; of length 0, an empty one whatever it points at."""
+    held = heap.select("collection", "item", F.col("value").alias("held"))
+    joined = descriptors.join(held, ["collection", "item"], "left")
+    return joined.withColumn("value", F.when(F.col("length") == 0, F.lit("")).otherwise(F.substring("held", F.lit(1), F.col("length")))).drop("held")

@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tessera.functions import codecs, convert, text
+from tessera.functions import codecs, convert, records, text
 from tessera.operators import chunks
 from tessera.operators.chunks import Layout
 from tessera.operators.selection import Slab, one_value
@@ -379,6 +379,38 @@ def q_phony_dims(spark, sf_dir):
     return catalog.named_axes(axes, scales)
 
 
+@query("""WITH a AS (SELECT p_partkey AS variable, i AS axis, (p_size + i * p_partkey) % 6 AS id FROM part, range(0, 2) t(i)),
+f AS (SELECT a.*, CASE WHEN id < 5 THEN 'dim' || id END AS dimension FROM a)
+SELECT variable, axis, dimension FROM f WHERE variable IN (SELECT variable FROM f GROUP BY variable HAVING count(*) = count(dimension))""")
+def q_axis_coordinates(spark, sf_dir):
+    parts = table(spark, sf_dir, "part").select("p_partkey", "p_size", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(1).cast("long"))).alias("axis"))
+    listed = parts.select(F.col("p_partkey").alias("variable"), "axis", ((F.col("p_size") + F.col("axis") * F.col("p_partkey")) % 6).alias("id"))
+    scales = spark.range(5).select("id", F.concat(F.lit("dim"), F.col("id").cast("string")).alias("name"))
+    return catalog.coordinates(listed, scales)
+
+
+@query("SELECT doc_id, CASE WHEN doc_id % 10 = 0 THEN '' ELSE substr(text, 1, 40) END AS value FROM documents")
+def q_vlen_resolve(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents").select("doc_id", F.floor(F.col("doc_id") / 50).alias("collection"), (F.col("doc_id") % 50 + 1).alias("item"), "text")
+    descriptors = docs.select("doc_id", "collection", "item", F.when(F.col("doc_id") % 10 == 0, 0).otherwise(40).alias("length"))
+    return catalog.resolved(descriptors, docs.select("collection", "item", F.col("text").alias("value"))).select("doc_id", "value")
+
+
+@query("SELECT o_custkey, CASE WHEN count(*) = 1 THEN min(o_totalprice) END AS single, CASE WHEN count(*) > 1 THEN count(*) END::INTEGER AS several FROM orders GROUP BY o_custkey")
+def q_attribute_fold(spark, sf_dir):
+    values = table(spark, sf_dir, "orders").groupBy("o_custkey").agg(text.folded(F.array_sort(F.collect_list("o_totalprice"))).alias("value"))
+    return values.select("o_custkey", "value.single", F.when(F.col("value.several").isNotNull(), F.size("value.several")).alias("several"))
+
+
+MEMBERS = [("station", "<i4", 0), ("value", ">f8", 4), ("label", "S8", 12)]
+
+
+@query("SELECT c_custkey, c_nationkey AS station, c_acctbal AS value, substr(c_mktsegment, 1, 8) AS label FROM customer")
+def q_compound(spark, sf_dir):
+    rows = table(spark, sf_dir, "customer").select("c_custkey", F.col("c_nationkey").alias("station"), F.col("c_acctbal").alias("value"), F.substring("c_mktsegment", 1, 8).alias("label"))
+    return records.unpacked(records.packed(rows, MEMBERS, 24), MEMBERS, 24)
+
+
 # relational work on scanned variables
 
 
