@@ -9,14 +9,14 @@ from those whose run occurs twice or more:
 1. each text gives its anchors with a hash of their surroundings (up to L - k symbols to the left, L
    to the right, as far as the text goes); equal surroundings are counted together before and after
    the shuffle, so copies of whole texts cost one row each task;
-2. of anchors with several different surroundings, one example of each is fetched, partitioned
-   by anchor and sorted by its right side: a suffix array. A scan of it (see `scan`) gives each
+2. of anchors with several different surroundings, one example of each is fetched (a Bloom filter of
+   fixed size keeps most other texts from moving), partitioned by anchor and sorted by its right side: a suffix array. A scan of it (see `scan`) gives each
    surroundings' longest reach to the left and right that another shares;
 3. anchors with more than `group` different surroundings are not gathered: their partition is refined by the
    whole window, which spreads over all tasks and is counted with partial sums;
 4. reaches go back to the occurrences by their two hashes and are merged in each text.
 
-Hashes have 64 bits each for the anchor and its surroundings.
+Hashes have 64 bits each for the anchor and its surroundings; of words in surroundings, 48.
 """
 
 from __future__ import annotations
@@ -31,9 +31,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessera.llm.common import U64, Rolling, blocks, encoded, stored
+from tessera.llm.sieve import sieved
 
 NO_RUN = U64(0xFFFFFFFFFFFFFFFF)
-GROUP = 2048
+#: Surroundings that one task compares at once: at 800 bytes each, under 100 MB with all that is made of them.
+GROUP = 1 << 15
 
 
 @dataclass(frozen=True)
@@ -120,10 +122,10 @@ def surroundings(wanted: DataFrame, s: Symbols) -> DataFrame:
             data = encoded(batch.column(0))
             lists = batch.column(1).to_pylist()
             for i, j in blocks([len(t) for t in data], 1 << 18):
-                out: list[list] = [[] for _ in range(6)]
+                out: list[list] = [[] for _ in range(5)]
                 values, ends = s.values(data[i:j])
                 starts = np.concatenate([[0], ends[:-1]])
-                raw = values.astype(">u8").view(np.uint8).reshape(-1, 8)[:, 8 - s.code :] if s.code < 8 else values.astype(">u8").view(np.uint8).reshape(-1, 8)
+                raw = np.ascontiguousarray(values.astype(">u8").view(np.uint8).reshape(-1, 8)[:, 8 - s.code :])
                 for k, places in enumerate(lists[i:j]):
                     own = raw[starts[k] : ends[k]]
                     for p in places:
@@ -131,23 +133,25 @@ def surroundings(wanted: DataFrame, s: Symbols) -> DataFrame:
                         out[0].append(p["anchor"])
                         out[1].append(p["around"])
                         out[2].append(p["times"])
-                        out[3].append(p["hot"])
-                        out[4].append(own[max(0, at - s.window + s.run) : at][::-1].tobytes())
-                        out[5].append(own[at : at + s.window].tobytes())
-                yield pa.RecordBatch.from_arrays([*(pa.array(x, pa.int64()) for x in out[:3]), pa.array(out[3], pa.bool_()), *(pa.array(x, pa.binary()) for x in out[4:])], ["anchor", "around", "times", "hot", "left", "right"])
+                        out[3].append(own[max(0, at - s.window + s.run) : at][::-1].tobytes())
+                        out[4].append(own[at : at + s.window].tobytes())
+                yield pa.RecordBatch.from_arrays([*(pa.array(x, pa.int64()) for x in out[:3]), *(pa.array(x, pa.binary()) for x in out[3:])], ["anchor", "around", "times", "left", "right"])
 
-    return wanted.mapInArrow(run, "anchor long, around long, times long, hot boolean, left binary, right binary")
+    return wanted.mapInArrow(run, "anchor long, around long, times long, left binary, right binary")
 
 
 def table_of(values: list[bytes], code: int) -> tuple[np.ndarray, np.ndarray]:
     """Symbol strings as rows of a matrix, each symbol one element, and their lengths."""
-    width = max(map(len, values), default=0)
-    matrix = np.zeros((len(values), max(width, code)), dtype=np.uint8)
+    lengths = np.fromiter(map(len, values), dtype=np.int64, count=len(values)) // code
+    width = max(1, int(lengths.max(initial=0)))
+    flat = np.zeros((len(values), width * code), dtype=np.uint8)
     for i, v in enumerate(values):
-        matrix[i, : len(v)] = np.frombuffer(v, dtype=np.uint8)
-    if code == 8:
-        matrix = matrix.view(np.uint64)
-    return matrix, np.fromiter(map(len, values), dtype=np.int64, count=len(values)) // code
+        flat[i, : len(v)] = np.frombuffer(v, dtype=np.uint8)
+    if code == 1:
+        return flat, lengths
+    wide = np.zeros((len(values), width, 8), dtype=np.uint8)
+    wide[:, :, :code] = flat.reshape(len(values), width, code)
+    return wide.view(np.uint64)[:, :, 0], lengths
 
 
 def common(a: np.ndarray, a_len: np.ndarray, b: np.ndarray, b_len: np.ndarray) -> np.ndarray:
@@ -179,10 +183,11 @@ def reach_in_group(lefts: list[bytes], left: np.ndarray, left_len: np.ndarray, l
     """
     n = len(left_len)
     far, right = np.full(n, -1, dtype=np.int64), np.full(n, -1, dtype=np.int64)
+    order = sorted(range(n), key=lefts.__getitem__)
     rank = np.empty(n, dtype=np.int64)
-    rank[sorted(range(n), key=lefts.__getitem__)] = np.arange(n)
-    for first, last, depth in intervals(lcp, s.run):
-        depth = min(depth, s.window)
+    rank[order] = np.arange(n)
+    longest = common(left[order[1:]], left_len[order[1:]], left[order[:-1]], left_len[order[:-1]]).max()
+    for first, last, depth in intervals(lcp, max(s.run, s.window - int(longest))):
         own = np.arange(first, last + 1)
         own = own[np.argsort(rank[own])]
         shared = common(left[own[1:]], left_len[own[1:]], left[own[:-1]], left_len[own[:-1]])
@@ -248,9 +253,11 @@ def windows(rows: DataFrame, s: Symbols) -> DataFrame:
             cols = [c.to_pylist() for c in batch.columns]
             out: list[list[np.ndarray]] = [[] for _ in range(5)]
             for anchor, around, times, left, right in zip(*cols, strict=True):
-                whole = np.frombuffer(left, dtype=np.uint8).reshape(-1, s.code)[::-1].reshape(-1).tobytes() + right
-                values = np.frombuffer(whole, dtype=np.uint8).astype(U64) + U64(1) if s.code == 1 else np.frombuffer(whole, dtype=np.uint64)
                 before = len(left) // s.code
+                whole = np.concatenate([np.frombuffer(left, dtype=np.uint8).reshape(-1, s.code)[::-1], np.frombuffer(right, dtype=np.uint8).reshape(-1, s.code)])
+                values = np.zeros((len(whole), 8), dtype=np.uint8)
+                values[:, : s.code] = whole
+                values = values.view(U64)[:, 0] + U64(1)
                 if len(values) < s.window:
                     continue
                 rolling = Rolling(values)
@@ -278,19 +285,24 @@ def repeated_spans(texts: DataFrame, s: Symbols, group: int = GROUP) -> DataFram
     texts has a key (long) and a text; rows that share a key must be equal in full, and each counts as a text."""
     seen = stored(occurrences(texts, s))
     around = seen.groupBy("anchor", "around").agg(F.count("*").alias("times"), F.min(F.struct("key", "place", "before", "after")).alias("one"))
-    around = stored(around)
     several = around.groupBy("anchor").agg(F.sum("times").alias("n"), F.count("*").alias("kinds")).where("n > 1")
     kinds = stored(around.join(several, "anchor").select("anchor", "around", "times", "kinds", "one.*"))
     # surroundings that occur twice as they stand are repeats as far as they go
-    whole = kinds.where((F.col("times") > 1) & (F.col("before") + F.col("after") >= s.window)).select("anchor", "around", F.col("before").alias("far"), F.col("after").alias("right"))
-    asked = kinds.where("kinds > 1").groupBy("key").agg(F.collect_list(F.struct("anchor", "around", "times", "place", (F.col("kinds") > group).alias("hot"))).alias("places"))
+    reaches = kinds.where((F.col("times") > 1) & (F.col("before") + F.col("after") >= s.window)).select("anchor", "around", F.col("before").alias("far"), F.col("after").alias("right"))
     once = texts.select("key", "text")
-    # rows that share a key give an example twice; its surroundings then count twice, so that nothing changes
-    examples = stored(surroundings(once.join(asked.hint("shuffle_hash"), "key").select("text", "places"), s))
-    reaches = whole.union(scan(examples.where("not hot"), s)).union(windows(examples.where("hot"), s))
-    reaches = reaches.groupBy("anchor", "around").agg(F.max("far").alias("far"), F.max("right").alias("right"))
+
+    def examples(wanted: DataFrame) -> DataFrame:
+        """The surroundings themselves. Rows that share a key give an example twice; it then counts twice, so that nothing changes."""
+        asked = wanted.groupBy("key").agg(F.collect_list(F.struct("anchor", "around", "times", "place")).alias("places"))
+        return surroundings(once.where(sieved(wanted.select("key"))).join(asked.hint("shuffle_hash"), "key").select("text", "places"), s)
+
+    reaches = reaches.union(scan(examples(kinds.where((F.col("kinds") > 1) & (F.col("kinds") <= group))), s))
+    if (kinds.agg(F.max("kinds")).first()[0] or 0) > group:
+        reaches = reaches.union(windows(stored(examples(kinds.where(F.col("kinds") > group))), s))
+    # written, so that the join below stands alone and Spark can split what one surroundings has too many of
+    reaches = stored(reaches.groupBy("anchor", "around").agg(F.max("far").alias("far"), F.max("right").alias("right")))
     spans = seen.join(reaches, ["anchor", "around"]).select("key", F.struct((F.col("place") - F.col("far")).alias("a"), (F.col("place") + F.col("right")).alias("b")).alias("span"))
-    return spans.groupBy("key").agg(F.sort_array(F.collect_set("span")).alias("spans"))
+    return stored(spans.groupBy("key").agg(F.sort_array(F.collect_set("span")).alias("spans")))
 
 
 def merged(spans) -> list[tuple[int, int]]:

@@ -20,6 +20,7 @@ from pyspark.sql import functions as F
 
 from tessera.llm.common import U64, encoded, row_key
 from tessera.llm.repeats import Symbols, merged, repeated_spans
+from tessera.llm.sieve import joined as with_spans
 
 WINDOW, RUN = 400, 64
 
@@ -38,7 +39,7 @@ def deduplicated(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", wi
     """(doc_id, text, n_bytes, n_removed, n_spans, kept_sha256): a row per document, text being what is left."""
     rows = keyed(docs, doc_id, text)
     spans = repeated_spans(rows.where(F.octet_length("text") >= window), Symbols(byte_values, 1, window, run))
-    joined = rows.join(spans.hint("shuffle_hash"), "key", "left").select("doc_id", "text", "spans")
+    joined = with_spans(rows, spans).select("doc_id", "text", "spans")
     schema = joined.select("doc_id", "text").schema.add("n_bytes", "long").add("n_removed", "long").add("n_spans", "long").add("kept_sha256", "string")
 
     def cut(batches):

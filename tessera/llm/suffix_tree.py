@@ -19,6 +19,7 @@ from pyspark.sql import functions as F
 
 from tessera.llm.common import BYTE_VALUE, Rolling, encoded, word_bounds
 from tessera.llm.repeats import Symbols, merged, repeated_spans
+from tessera.llm.sieve import joined as with_spans
 from tessera.llm.suffix_array import keyed
 
 WINDOW, RUN = 35, 8
@@ -36,8 +37,8 @@ def deduplicated(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", wi
 
     text is the input where nothing was removed; else its removed words are gone, with the white space after each."""
     rows = keyed(docs, doc_id, text, keep)
-    spans = repeated_spans(rows.where(F.octet_length("text") >= 2 * window - 1), Symbols(word_values, 8, window, run))
-    joined = rows.join(spans.hint("shuffle_hash"), "key", "left").select("doc_id", *keep, "text", "spans")
+    spans = repeated_spans(rows.where(F.octet_length("text") >= 2 * window - 1), Symbols(word_values, 6, window, run))
+    joined = with_spans(rows, spans).select("doc_id", *keep, "text", "spans")
     schema = joined.select("doc_id", *keep, "text").schema.add("n_words", "long").add("n_removed", "long").add("kept_sha256", "string")
 
     def cut(batches):
