@@ -22,10 +22,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import U64, mix, stored
+from tessera.llm.common import U64, blocks, mix, stored
 from tessera.llm.toxicity import logistic
 
-ORDER, DISCOUNT, PER_LANGUAGE, LANGUAGES, CACHE = 4, 0.75, 3000, 256, 100_000
+ORDER, DISCOUNT, PER_LANGUAGE, LANGUAGES, CACHE = 4, 0.75, 3000, 256, 200_000
 LETTERS = re.compile(r"[^\W\d_]+")
 UNKNOWN = "und"
 
@@ -116,55 +116,51 @@ class Identifier:
     def __init__(self, names: list[str], models: list[KneserNey]):
         self.names, self.models, self.beta = names, models, None
         self.at: dict[str, int] = {}
-        self.costs = np.zeros((0, len(names)))
+        self.costs = np.empty((0, len(names)))
 
     def learn_words(self, words: set[str]) -> None:
+        """Have the costs of these words at hand, with those of earlier ones while they are few."""
         fresh = sorted(words.difference(self.at))
-        if not fresh:
-            return
-        if len(self.at) + len(fresh) > CACHE:
-            self.at, self.costs, fresh = {}, np.zeros((0, len(self.names))), sorted(words)
-        hashes, place = gram_hashes(fresh)
-        starts = np.flatnonzero(place == 0)
-        costs = np.empty((len(fresh), len(self.names)))
-        for k, model in enumerate(self.models):
-            each = -model.log_probabilities(hashes, place)
-            each[starts] = 0  # the space before a word is given
-            costs[:, k] = np.add.reduceat(each, starts)
-        self.at.update(zip(fresh, range(len(self.costs), len(self.costs) + len(fresh)), strict=True))
-        self.costs = np.concatenate([self.costs, costs])
-
-    def entropies(self, text: str | None) -> tuple[np.ndarray, int] | None:
-        """Cross-entropy per character under each language, and the number of characters."""
-        words = LETTERS.findall(text.lower()) if text else []
-        if not words or not self.names:
-            return None
-        total, chars = np.zeros(len(self.names)), 0
-        for i in range(0, len(words), CACHE // 2):
-            some = words[i : i + CACHE // 2]
-            self.learn_words(set(some))
-            total += self.costs[np.fromiter(map(self.at.__getitem__, some), dtype=np.int64, count=len(some))].sum(axis=0)
-            chars += sum(map(len, some)) + len(some)
-        return total / chars, chars
-
-    def features(self, text: str | None) -> tuple[int, float, float] | None:
-        found = self.entropies(text)
-        if found is None:
-            return None
-        costs, chars = found
-        best = int(np.argmin(costs))
-        others = np.delete(costs, best)
-        margin = float(others.min() - costs[best]) if len(others) else 1.0
-        return best, margin, margin * chars**0.5
-
-    def predict(self, text: str | None) -> tuple[str, float]:
-        found = self.features(text)
-        if found is None:
-            return UNKNOWN, 0.0
-        best, margin, wide = found
+        if len(self.at) + len(fresh) > len(self.costs):
+            self.at, fresh = {}, sorted(words)
+            self.costs = np.empty((max(CACHE, len(fresh)), len(self.names)))
+        for i in range(0, len(fresh), 1 << 14):
+            some, first = fresh[i : i + (1 << 14)], len(self.at)
+            hashes, place = gram_hashes(some)
+            starts = np.flatnonzero(place == 0)
+            for k, model in enumerate(self.models):
+                each = -model.log_probabilities(hashes, place)
+                each[starts] = 0  # the space before a word is given
+                self.costs[first : first + len(some), k] = np.add.reduceat(each, starts)
+            self.at.update(zip(some, range(first, first + len(some)), strict=True))
+
+    def features(self, texts: list[str | None]) -> list[tuple[int, float, float] | None]:
+        """Of each text the language of the lowest cross-entropy per character, the margin to the next, and that times the root of the length."""
+        out: list = []
+        for i, j in blocks([len(t or "") for t in texts]):
+            tokens = [LETTERS.findall(t.lower()) if t and self.names else [] for t in texts[i:j]]
+            self.learn_words(set().union(*tokens))
+            for words in tokens:
+                if not words:
+                    out.append(None)
+                    continue
+                chars = sum(map(len, words)) + len(words)
+                costs = self.costs[np.fromiter(map(self.at.__getitem__, words), dtype=np.int64, count=len(words))].sum(axis=0) / chars
+                best = int(np.argmin(costs))
+                margin = float(np.delete(costs, best).min() - costs[best]) if len(costs) > 1 else 1.0
+                out.append((best, margin, margin * chars**0.5))
+        return out
+
+    def predict(self, texts: list[str | None]) -> list[tuple[str, float]]:
         beta = self.beta if self.beta is not None else np.array([0.0, 1.0, 1.0])
-        z = float(beta @ np.array([1.0, margin, wide]))
-        return self.names[best], float(1 / (1 + np.exp(-np.clip(z, -30, 30))))
+        out = []
+        for found in self.features(texts):
+            if found is None:
+                out.append((UNKNOWN, 0.0))
+            else:
+                z = float(beta @ np.array([1.0, *found[1:]]))
+                out.append((self.names[found[0]], float(1 / (1 + np.exp(-np.clip(z, -30, 30))))))
+        return out
 
 
 COUNTED = "lang int, n int, gram long, context long, shorter long, count long"
@@ -220,7 +216,7 @@ def fitted(labelled: DataFrame, per_language: int = PER_LANGUAGE, languages: int
 
     def judged(batches):
         for batch in batches:
-            got = [(int(f[0] == own), f[1], f[2]) for text, own in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True) if (f := sent.value.features(text))]
+            got = [(int(f[0] == own), f[1], f[2]) for f, own in zip(sent.value.features(batch.column(0).to_pylist()), batch.column(1).to_pylist(), strict=True) if f]
             if got:
                 right, margin, wide = zip(*got, strict=True)
                 yield pa.RecordBatch.from_arrays([pa.array(right, pa.int32()), pa.array(margin, pa.float64()), pa.array(wide, pa.float64())], ["good", "margin", "wide"])
@@ -242,7 +238,7 @@ def identified(docs: DataFrame, model: Identifier, text: str = "text") -> DataFr
 
     def run(batches):
         for batch in batches:
-            found = [sent.value.predict(t) for t in batch.column(batch.num_columns - 1).to_pylist()]
+            found = sent.value.predict(batch.column(batch.num_columns - 1).to_pylist())
             yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array([x for x, _ in found], pa.string()), pa.array([s for _, s in found], pa.float64()), pa.array([s < 0.5 for _, s in found])], schema.names)
 
     return docs.select(*kept, F.col(text).cast("string")).mapInArrow(run, schema)
