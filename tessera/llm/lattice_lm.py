@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 from tessera.llm.common import encoded, row_key, stored
 
 VOCABULARY = "/opt/tokenizers/piece_bpe_32k.model"
-HEAD, SMOOTHING = 200_000, 0.1
+HEAD, SMOOTHING = 1 << 16, 0.1
 SPACE = "▁"
 LOG10 = math.log(10)
 
