@@ -65,4 +65,15 @@ SELECT doc_id, size, source_size::BIGINT AS source_size, target,
 FROM placed JOIN wanted USING (turn, shard)
 """
 
-SQL = {"op1_quality_rules": QUALITY, "op7_mix_sources": MIXING}
+SUBSTRINGS = r"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS words FROM documents),
+t AS (SELECT r, generate_subscripts(words, 1) AS i, unnest(words) AS word FROM d),
+w AS (SELECT r, i, array_to_string(words[i : i + 34], ' ') AS run FROM d, unnest(range(1, greatest(len(words) - 33, 1))) AS s(i)),
+c AS (SELECT run FROM w GROUP BY run HAVING count(*) > 1),
+hit AS (SELECT DISTINCT r, i + k AS i FROM (SELECT r, i FROM w SEMI JOIN c USING (run)), unnest(range(0, 35)) AS s(k)),
+kept AS (SELECT r, count(*) AS n, string_agg(word, ' ' ORDER BY i) AS text FROM t ANTI JOIN hit USING (r, i) GROUP BY r)
+SELECT doc_id, len(words)::BIGINT AS n_words, (len(words) - coalesce(n, 0))::BIGINT AS n_removed, sha256(coalesce(kept.text, '')) AS kept_sha256
+FROM d LEFT JOIN kept USING (r)
+"""
+
+SQL = {"op1_quality_rules": QUALITY, "op7_mix_sources": MIXING, "op10_substring_dedup": SUBSTRINGS}

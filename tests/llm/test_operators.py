@@ -9,16 +9,16 @@ from brute import components, corpus, edit_search, fingerprint, lower, removal,
 from pyspark.sql import functions as F
 
 from tessera.llm import components as graph
-from tessera.llm import decontam, html_main, langid, lattice_lm, mixing, quality, repeats, simhash, suffix_array, suffix_tree, toxicity
+from tessera.llm import decontam, html_main, langid, lattice_lm, mixing, quality, repeats, sieve, simhash, suffix_array, suffix_tree, toxicity
 from tessera.llm.common import fold
 
-SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, size string, score string, node string, copy int"
+SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, size string, score string, node string, copy int, key string, row string"
 
 
 def documents(spark, texts, ids=None):
     """A table with extra columns whose names the operators also use."""
     ids = list(range(len(texts))) if ids is None else ids
-    rows = [(i, t, "en", None if k % 3 == 0 else f"s{k % 3}", len(t or ""), "x", "y", "z", 1) for k, (i, t) in enumerate(zip(ids, texts))]
+    rows = [(i, t, "en", None if k % 3 == 0 else f"s{k % 3}", len(t or ""), "x", "y", "z", 1, "k", "r") for k, (i, t) in enumerate(zip(ids, texts))]
     return spark.createDataFrame(rows, SCHEMA)
 
 
@@ -234,6 +234,14 @@ def test_kneser_ney_sums_to_one(spark):
 # repeats
 
 
+def test_sieve_lets_every_key_through(spark):
+    keys = spark.range(0, 3000, 3).select(F.xxhash64("id").alias("key"))
+    rows = spark.range(3000).select("id", F.xxhash64("id").alias("key"))
+    found = {r["id"]: r["mark"] for r in sieve.joined(rows, keys.withColumn("mark", F.lit(1))).collect()}
+    assert found == {i: 1 if i % 3 == 0 else None for i in range(3000)}
+    assert sieve.joined(rows, keys.limit(0).withColumn("mark", F.lit(1))).where("mark is not null").count() == 0
+
+
 @pytest.mark.parametrize("group", [2, 1 << 15])
 @pytest.mark.parametrize("seed", [11, 12])
 def test_repeats_match_brute_force(spark, group, seed, monkeypatch):
