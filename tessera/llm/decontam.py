@@ -23,7 +23,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import BLOCK_BYTES, U64, Rolling, blocks, mix
+from tessera.llm.common import BLOCK_BYTES, U64, Rolling, blocks, mix, stored
+from tessera.llm.sieve import joined
 
 RATE, MIN_WORDS, BLOCK_ITEMS = 0.2, 5, 20_000
 TOKEN = re.compile(r"[^\W_]+")
@@ -161,5 +162,6 @@ def matches(docs: DataFrame, benchmark: DataFrame, rate: float = RATE, min_words
 
 def clean(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame:
     """The documents in which no item is found."""
-    found = matches(docs, benchmark, **options).select("doc_id").distinct()
-    return docs.join(found, docs["doc_id"].eqNullSafe(found["doc_id"]), "left_anti")
+    found = stored(matches(docs, benchmark, **options).select(F.xxhash64("doc_id").alias("key"), F.lit(True).alias("hit")).distinct())
+    keyed = docs.select(F.struct("*").alias("row"), F.xxhash64("doc_id").alias("key"))
+    return joined(keyed, found).where("hit is null").select("row.*")

@@ -30,6 +30,7 @@ from pyspark.sql import functions as F
 
 from tessera.llm.common import U64, encoded, mix, stored
 from tessera.llm.components import components
+from tessera.llm.sieve import joined
 
 SEED = 42
 #: Fingerprints up to which 64 bits are cut into so many segments; into two beyond.
@@ -167,7 +168,10 @@ def distance_of(similarity: float, bits: int = WIDE) -> int:
 
 
 def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", width: int = 4, distance: int = 4, bits: int = 64) -> DataFrame:
-    """One row per document: its other columns, fp and component_id, the least doc_id reachable over links."""
+    """One row per document: its other columns, fp and component_id, the least doc_id reachable over links.
+
+    Columns of docs that have one of these names, or are named node, are left out."""
+    docs = docs.select(*(c for c in docs.columns if c not in ("node", "component_id")))
     marked = stored(fingerprints(docs, width, bits, text).withColumn("node", F.xxhash64("fp") if bits > 64 else F.element_at("fp", 1)))
     distinct = stored(marked.groupBy("node").agg(F.min(doc_id).alias("least_id"), F.first("fp").alias("fp")))
     found = components(links(distinct.select("node", "fp"), distance, bits)).withColumnRenamed("node", "linked")
@@ -177,11 +181,13 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
 
 
 def representatives(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", width: int = 5, similarity: float = 0.8, bits: int = WIDE) -> DataFrame:
-    """The documents left when one of each group of near-duplicates stays: of the least doc_id, and of rows
-    that share it the one with the least text (a null text first). Their columns are those of docs."""
-    keyed = docs.withColumn("_row", F.xxhash64(doc_id, text))
-    found = near_duplicates(keyed.select(doc_id, "_row", text), doc_id, text, width, distance_of(similarity, bits), bits)
-    chosen = found.groupBy("component_id").agg(F.min(F.struct(F.col(doc_id).isNull().alias("none"), F.col(doc_id).alias("id"), F.col("_row").alias("row"))).alias("least"))
-    rows = chosen.select(F.col("least.row").alias("_row")).distinct()
-    # rows that repeat in full share the key: one of them stays
-    return keyed.join(rows, "_row", "left_semi").dropDuplicates(["_row"]).select(*docs.columns)
+    """The documents left when one of each group of near-duplicates stays: the one of the least doc_id (a null
+    one last), and of rows that share it one that a hash of the text decides. Their columns are those of docs."""
+    keyed = docs.select(F.struct("*").alias("row"), F.xxhash64(doc_id, text).alias("key"))
+    found = near_duplicates(keyed.select(f"row.{doc_id}", "key", f"row.{text}"), doc_id, text, width, distance_of(similarity, bits), bits)
+    rows = stored(found.groupBy("key", "component_id").agg(F.min(doc_id).alias("id"), F.count("*").alias("n")))
+    chosen = rows.groupBy("component_id").agg(F.min(F.struct(F.col("id").isNull().alias("none"), "id", "key")).alias("least")).select(F.col("least.key").alias("key"), F.lit(True).alias("stays"))
+    # rows to drop, and rows that repeat in full and share a key: one of those stays
+    marks = stored(rows.join(chosen, "key", "left").where("stays is null or n > 1").select("key", F.coalesce("stays", F.lit(False)).alias("stays")))
+    marked = joined(keyed, marks)
+    return marked.where("stays is null").unionByName(marked.where("stays").dropDuplicates(["key"])).select("row.*")
