@@ -2,10 +2,11 @@
 
 Terms are words and word beginnings of 4 and 5 letters. Fitting reads at most `examples` labelled
 rows, those with the least hash of their id (a documented bound: they and what is made of them are
-the only data that reach the driver): terms are chosen by their chi-squared link to the label, and
-each example's vector over these terms goes into an inverted index whose postings are cut into
-blocks of examples, with the greatest weight of each term in each block. Document frequencies of
-the terms are counted over all documents. A text is scored by its k nearest examples: blocks are
+the only data that reach the driver). Terms that mark toxic texts are chosen by their chi-squared
+link to the label, so high that hardly one of a million terms reaches it by chance. Each example's
+vector over these terms goes into an inverted index whose postings are cut into blocks of examples,
+with the greatest weight of each term in each block. Document frequencies of the terms are counted
+over all documents. A text is scored by its k nearest examples: blocks are
 read from the highest possible cosine downwards until no block left can hold a nearer one. Their
 distance-weighted vote is mapped to a probability by a logistic curve fitted on the examples, each
 voted on by the others; texts that share no term with any example get the share of toxic ones
@@ -30,7 +31,7 @@ from pyspark.sql import types as T
 
 from tessera.llm.common import fold, stored
 
-EXAMPLES, TERMS, MIN_COUNT, CHI, NEAREST, POSTING_BLOCK = 16_000, 4096, 3, 15.0, 15, 64
+EXAMPLES, TERMS, CHI, NEAREST, POSTING_BLOCK = 16_000, 4096, 40.0, 15, 64
 TOKEN = re.compile(r"[^\W\d_]+")
 PARTS = (4, 5)
 CACHE = 200_000
@@ -189,7 +190,7 @@ def fitted(docs: DataFrame, labels: DataFrame, folds: int | None = None, example
     by_term = rows.select("text", "toxic").mapInArrow(present, "term string, n0 long, n1 long").groupBy("term").agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1"))
     held = (a + b) * (F.lit(total) - a - b) * F.lit(n0) * F.lit(n1)
     chi = F.when(held > 0, F.lit(total) * F.pow(a * (F.lit(n0) - b) - b * (F.lit(n1) - a), 2) / held).otherwise(0.0)
-    chosen = by_term.where(a + b >= MIN_COUNT).withColumn("chi", chi).where(F.col("chi") >= CHI).orderBy(F.col("chi").desc(), "term").limit(terms).collect()
+    chosen = by_term.where(a * F.lit(n0) > b * F.lit(n1)).withColumn("chi", chi).where(F.col("chi") >= CHI).orderBy(F.col("chi").desc(), "term").limit(terms).collect()
     known = {r["term"]: i for i, r in enumerate(chosen)}
 
     def frequencies(batches):
