@@ -30,11 +30,13 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tessera.llm.common import fold, stored
+from tessera.llm.sieve import joined
 
 EXAMPLES, TERMS, CHI, NEAREST, POSTING_BLOCK = 16_000, 4096, 40.0, 15, 64
 TOKEN = re.compile(r"[^\W\d_]+")
 PARTS = (4, 5)
-CACHE = 200_000
+#: Words, and results of short texts, that a worker keeps.
+CACHE, RESULTS = 100_000, 4096
 
 
 def terms_of(word: str) -> list[str]:
@@ -156,7 +158,7 @@ class Model:
             return self.none, []
         z = float(self.beta @ np.array([1.0, voted[0], voted[0] * voted[1]]))
         out = 1 / (1 + math.exp(-max(-30.0, min(30.0, z)))), self.index.ids[voted[2]].tolist()
-        if len(counts) <= 8 and len(self.index.known) < CACHE:
+        if len(counts) <= 8 and len(self.index.known) < RESULTS:
             self.index.known[key] = out
         return out
 
@@ -217,11 +219,10 @@ def fitted(docs: DataFrame, labels: DataFrame, folds: int | None = None, example
 
 
 def scored(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
-    """docs with score, predicted and evidence (ids of the nearest examples)."""
+    """The columns of docs without the text, and score, predicted and evidence (ids of the nearest examples)."""
     sent = docs.sparkSession.sparkContext.broadcast(model)  # at most `examples` vectors over `terms` terms
-    kept = [c for c in docs.columns if c not in ("score", "predicted", "evidence")]
-    rest = [c for c in kept if c != text]
-    schema = docs.select(*rest, text).schema
+    kept = [c for c in docs.columns if c not in (text, "score", "predicted", "evidence")]
+    schema = docs.select(*kept).schema
     for c, kind in (("score", T.DoubleType()), ("predicted", T.IntegerType()), ("evidence", T.ArrayType(T.LongType()))):
         schema = schema.add(c, kind)
 
@@ -230,6 +231,14 @@ def scored(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
         for batch in batches:
             found = [sent.value.score(counted(t)) for t in batch.column(batch.num_columns - 1).to_pylist()]
             scores = [s for s, _ in found]
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(scores, pa.float64()), pa.array([int(s >= 0.5) for s in scores], pa.int32()), pa.array([e for _, e in found], pa.list_(pa.int64()))], schema.names)
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(scores, pa.float64()), pa.array([int(s >= 0.5) for s in scores], pa.int32()), pa.array([e for _, e in found], pa.list_(pa.int64()))], schema.names)
 
-    return docs.select(*rest, text).mapInArrow(run, schema).select(*kept, "score", "predicted", "evidence")
+    return docs.select(*kept, F.col(text).cast("string")).mapInArrow(run, schema)
+
+
+def clean(docs: DataFrame, model: Model) -> DataFrame:
+    """The documents that are not called toxic. Texts go to the workers but do not come back."""
+    keyed = docs.select(F.struct("*").alias("row"), F.xxhash64("doc_id", "text").alias("key"))
+    found = scored(keyed.select("key", F.col("row.text").alias("text")), model).where("predicted = 1")
+    found = stored(found.select("key", F.lit(True).alias("hit")).distinct())
+    return joined(keyed, found).where("hit is null").select("row.*")

@@ -341,6 +341,7 @@ def test_toxicity(spark):
     assert np.mean([found[i]["predicted"] == labels[i][1] for i in held]) > 0.97
     assert all(0 <= r["score"] <= 1 and r["predicted"] == (r["score"] >= 0.5) for r in found.values())
     assert found[400]["predicted"] == found[401]["predicted"] == 0
+    assert {r["doc_id"] for r in toxicity.clean(docs, model).collect()} == {i for i, r in found.items() if not r["predicted"]}
     nothing = toxicity.fitted(docs, tags.limit(0))
     assert {r["score"] for r in toxicity.scored(docs, nothing).collect()} == {0.0}
 
