@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessera.llm.common import U64, Rolling, blocks, encoded, stored
-from tessera.llm.sieve import sieved
+from tessera.llm.sieve import marked
 
 NO_RUN = U64(0xFFFFFFFFFFFFFFFF)
 #: Surroundings that one task compares at once: at 800 bytes each, under 100 MB with all that is made of them.
@@ -294,7 +294,7 @@ def repeated_spans(texts: DataFrame, s: Symbols, group: int = GROUP) -> DataFram
     def examples(wanted: DataFrame) -> DataFrame:
         """The surroundings themselves. Rows that share a key give an example twice; it then counts twice, so that nothing changes."""
         asked = wanted.groupBy("key").agg(F.collect_list(F.struct("anchor", "around", "times", "place")).alias("places"))
-        return surroundings(once.where(sieved(wanted.select("key"))).join(asked.hint("shuffle_hash"), "key").select("text", "places"), s)
+        return surroundings(marked(once, wanted.select("key")).where("possible").join(asked.hint("shuffle_hash"), "key").select("text", "places"), s)
 
     reaches = reaches.union(scan(examples(kinds.where((F.col("kinds") > 1) & (F.col("kinds") <= group))), s))
     if (kinds.agg(F.max("kinds")).first()[0] or 0) > group:

@@ -2,46 +2,36 @@
 
 from __future__ import annotations
 
-import numpy as np
-import pandas as pd
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: Bits and hashes: 4 MB each, whatever the input. With too many keys for it, a sieve lets all rows through.
-BITS, HASHES = 1 << 25, 4
-
-
-def spots(bits: int) -> list[Column]:
-    return [F.pmod(F.xxhash64(F.lit(i), "key"), F.lit(bits)) for i in range(HASHES)]
+#: 64-bit words of a filter, and bits set in one word for each key: a broadcast of so many rows of two numbers at
+#: most, whatever the input. With too many keys for it, a sieve lets all rows through.
+WORDS, HASHES = 1 << 19, 4
 
 
-def sieve(keys: DataFrame, bits: int = BITS) -> np.ndarray:
-    """The filter of the column `key`, as 64-bit words."""
-    words = keys.select(F.explode(F.array(*spots(bits))).alias("spot")).groupBy(F.shiftright("spot", 6).alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, CAST(spot & 63 AS INT))")).alias("bits"))
-    found = words.toArrow()  # at most bits / 64 rows of two numbers
-    out = np.zeros(bits // 64, dtype=np.int64)
-    out[found.column("word").to_numpy()] = found.column("bits").to_numpy()
-    return out
+def word() -> Column:
+    return F.pmod(F.xxhash64(F.lit(1), "key"), F.lit(WORDS))
 
 
-def sieved(keys: DataFrame) -> Column:
-    """Of a row with a `key`: false if the key is surely not among the keys."""
-    sent = keys.sparkSession.sparkContext.broadcast(sieve(keys))
+def mask() -> Column:
+    at = F.xxhash64(F.lit(2), "key")
+    bits = [F.call_function("shiftleft", F.lit(1).cast("long"), F.shiftrightunsigned(at, 6 * i).bitwiseAND(F.lit(63)).cast("int")) for i in range(HASHES)]
+    return reduce(lambda a, b: a.bitwiseOR(b), bits)
 
-    @F.pandas_udf("boolean")
-    def there(*columns: pd.Series) -> pd.Series:
-        held = np.ones(len(columns[0]), dtype=bool)
-        for c in columns:
-            spot = c.to_numpy()
-            held &= (sent.value[spot >> 6] >> (spot & 63)) & 1 == 1
-        return pd.Series(held)
 
-    return there(*spots(BITS))
+def marked(rows: DataFrame, keys: DataFrame) -> DataFrame:
+    """rows (with a `key`) and `possible`: false if the key is surely not among the keys."""
+    words = keys.select(word().alias("word"), mask().alias("mask")).groupBy("word").agg(F.bit_or("mask").alias("bits"))
+    both = rows.withColumn("word", word()).join(F.broadcast(words), "word", "left")
+    return both.withColumn("possible", F.coalesce(F.col("bits").bitwiseAND(mask()) == mask(), F.lit(False))).drop("word", "bits")
 
 
 def joined(rows: DataFrame, found: DataFrame) -> DataFrame:
     """rows with the other column of `found` (key, column), null where there is none."""
     name, kind = next((f.name, f.dataType) for f in found.schema if f.name != "key")
-    marked = rows.withColumn("possible", sieved(found.select("key")))
-    moved = marked.where("possible").drop("possible").join(found.hint("shuffle_hash"), "key", "left")
-    return moved.unionByName(marked.where("not possible").drop("possible").withColumn(name, F.lit(None).cast(kind)))
+    both = marked(rows, found.select("key"))
+    moved = both.where("possible").drop("possible").join(found.hint("shuffle_hash"), "key", "left")
+    return moved.unionByName(both.where("not possible").drop("possible").withColumn(name, F.lit(None).cast(kind)))
