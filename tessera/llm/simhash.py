@@ -9,9 +9,13 @@ With 64 bits the scheme is exact: fingerprints that differ in at most `distance`
 distance // segments bits of some segment. The number of segments is taken from the number of
 fingerprints: the more there are, the longer the segments, so that chance meetings stay few.
 
-Wide fingerprints serve to find texts by similarity. The share of bits in which two of them agree is
-1 - arccos(cosine of their shingles) / pi, so a similarity has its distance; the segments are many and
-short enough that texts as similar as asked meet in one of them with high probability.
+Wide fingerprints, over distinct shingles, serve to find texts by similarity. The share of bits in which
+two of them agree is 1 - arccos(cosine of their shingle sets) / pi, so a similarity has its distance. 96
+keys of two bytes each (whatever the size of the input) bring together pairs of similarity 0.8 with a
+probability of about 0.995, and more similar ones more surely; candidates may differ by four standard
+deviations more than such pairs do on the mean. What candidates connect is then compared by the
+Jaccard similarity of the shingle sets themselves (as 64-bit hashes): only that makes links. Texts of
+fewer than ten words meet a little less surely (about 0.95 for four of five shingles).
 
 Defined results: a null or empty text has fingerprint zero and links like any other; rows that
 repeat share fingerprint and component; a null doc_id is never a component's name unless all are null.
@@ -35,11 +39,14 @@ from tessera.llm.sieve import joined
 SEED = 42
 #: Fingerprints up to which 64 bits are cut into so many segments; into two beyond.
 SEGMENTS = {1 << 24: 3}
-#: Bits of wide fingerprints. Fingerprints up to which their segments have so many bits and a ball of such a radius.
-WIDE = 512
-WIDE_SEGMENTS = {1 << 18: (16, 0), 1 << 22: (19, 1), 1 << 62: (24, 1)}
+#: Bits of wide fingerprints, and of those that go along with each key to measure distances.
+WIDE, SKETCH = 512, 256
+#: Keys of a wide fingerprint are its bytes at two places, which differ by one of these in binary.
+PARTNERS = (1, 37, 22)
 #: Up to so many rows under one key all pairs are compared; above, a search that drops what it has reached.
 SMALL = 32
+#: Texts in a block whose shingle sets are compared; a task holds two blocks of a group at most.
+BLOCK = 512
 
 
 def bit_sums(hashes: np.ndarray) -> np.ndarray:
@@ -50,14 +57,22 @@ def bit_sums(hashes: np.ndarray) -> np.ndarray:
     return out
 
 
-def fingerprint(text: bytes, width: int, bits: int = 64) -> list[int]:
-    """Words of 64 bits each, as signed numbers."""
+def shingles(text: bytes, width: int) -> np.ndarray:
     words = text.lower().split()  # bytes.lower() changes A-Z only
     if not words:
-        return [0] * (bits // 64)
+        return np.empty(0, dtype=U64)
     runs = zip(*(words[i:] for i in range(width)), strict=False) if len(words) > width else [words]
     digest = xxhash.xxh64_digest
-    hashes = np.frombuffer(b"".join([digest(b" ".join(run), SEED) for run in runs]), dtype=">u8").astype(U64)
+    return np.frombuffer(b"".join([digest(b" ".join(run), SEED) for run in runs]), dtype=">u8").astype(U64)
+
+
+def fingerprint(text: bytes, width: int, bits: int = 64) -> list[int]:
+    """Words of 64 bits each, as signed numbers."""
+    hashes = shingles(text, width)
+    if not len(hashes):
+        return [0] * (bits // 64)
+    if bits > 64:
+        hashes = np.unique(hashes)
     sums = [bit_sums(hashes if i == 0 else mix(hashes + U64(i))) for i in range(bits // 64)]
     return [int.from_bytes(np.packbits(2 * s > len(hashes)).tobytes(), "big", signed=True) for s in sums]
 
@@ -134,37 +149,101 @@ def looked_up(distinct: DataFrame, segments: list[tuple[int, int]], radius: int)
     return rows
 
 
+def wide_keys(distinct: DataFrame, bits: int) -> DataFrame:
+    """(key, node, fp) of each pair of bytes; fp is cut to the bits that measure distances."""
+    size = bits // 8
+    byte = [F.shiftrightunsigned(F.element_at("fp", b // 8 + 1), 8 * (b % 8)).bitwiseAND(255) for b in range(size)]
+    pairs = [(a, a ^ step) for step in PARTNERS for a in range(size) if a < a ^ step]
+    keys = F.array(*((byte[a] * 256 + byte[b]) * len(pairs) + s for s, (a, b) in enumerate(pairs)))
+    return distinct.select(F.explode(keys).alias("key"), "node", F.slice("fp", 1, SKETCH // 64).alias("fp"))
+
+
 def links(distinct: DataFrame, distance: int, bits: int = 64) -> DataFrame:
-    """Links (a, b) between nodes of (node, fp) that connect what the segments bring together within the distance."""
-    n = distinct.count()
+    """Links (a, b) between nodes of (node, fp) that connect what the segments bring together within the
+    distance. Of wide fingerprints it is the distance in the first SKETCH bits."""
     if bits == 64:
+        n = distinct.count()
         count = next((m for most, m in SEGMENTS.items() if n <= most), 2)
         cuts = [64 * s // count for s in range(count + 1)]
-        segments, radius = [(a, b - a) for a, b in zip(cuts, cuts[1:], strict=False)], distance // count
+        rows = looked_up(distinct, [(a, b - a) for a, b in zip(cuts, cuts[1:], strict=False)], distance // count)
     else:
-        size, radius = next(v for most, v in WIDE_SEGMENTS.items() if n <= most)
-        segments = [(w * 64 + s * size, size) for w in range(bits // 64) for s in range(64 // size)]
+        rows = wide_keys(distinct, bits)
+    held = min(bits, SKETCH) // 64
 
     def run(batches):
-        keys, nodes, fps = np.empty(0, dtype=np.int64), np.empty(0, dtype=np.int64), np.empty((0, bits // 64), dtype=U64)
+        keys, nodes, fps = np.empty(0, dtype=np.int64), np.empty(0, dtype=np.int64), np.empty((0, held), dtype=U64)
         for batch in itertools.chain(batches, [None]):
             if batch is not None and batch.num_rows:
                 keys = np.concatenate([keys, batch.column(0).to_numpy()])
                 nodes = np.concatenate([nodes, batch.column(1).to_numpy()])
-                fps = np.concatenate([fps, batch.column(2).flatten().to_numpy().view(U64).reshape(-1, bits // 64)])
+                fps = np.concatenate([fps, batch.column(2).flatten().to_numpy().view(U64).reshape(-1, held)])
             # the last key may go on in the next batch
             cut = len(keys) if batch is None else int(np.searchsorted(keys, keys[-1])) if len(keys) else 0
             if cut:
                 yield from verified(keys[:cut], nodes[:cut], fps[:cut], distance)
                 keys, nodes, fps = keys[cut:], nodes[cut:], fps[cut:]
 
-    rows = looked_up(distinct, segments, radius)
     return rows.repartition("key").sortWithinPartitions("key").mapInArrow(run, "a long, b long").where("a <> b").distinct()
 
 
-def distance_of(similarity: float, bits: int = WIDE) -> int:
-    """Bits in which fingerprints of texts differ whose shingle sets have this Jaccard similarity."""
-    return round(bits * math.acos(2 * similarity / (1 + similarity)) / math.pi)
+def distance_of(similarity: float, bits: int = SKETCH) -> int:
+    """Bits in which hardly any pair of fingerprints differs whose shingle sets have this Jaccard
+    similarity: four standard deviations above the mean."""
+    share = math.acos(2 * similarity / (1 + similarity)) / math.pi
+    return math.ceil(bits * share + 4 * math.sqrt(bits * share * (1 - share)))
+
+
+def alike(nodes: list[int], sets: list[np.ndarray], similarity: float) -> tuple[list[int], list[int]]:
+    """Links that connect all sets of a group whose Jaccard similarity is as high: a breadth-first search
+    in which each step compares with what has not been reached yet."""
+    one, other, sizes = [], [], np.array([len(x) for x in sets])
+    _, ids = np.unique(np.concatenate(sets), return_inverse=True)
+    owner, ends = np.repeat(np.arange(len(sets)), sizes), np.cumsum(sizes)
+    mark, left, queue = np.zeros(len(ids) + 1, dtype=bool), np.ones(len(sets), dtype=bool), []
+    while left.any():
+        if not queue:
+            queue = [int(np.argmax(left))]
+            left[queue[0]] = False
+        x = queue.pop()
+        own = ids[ends[x] - sizes[x] : ends[x]]
+        mark[own] = True
+        common = np.bincount(owner[mark[ids]], minlength=len(sets))
+        mark[own] = False
+        # in whole numbers of millionths, as 0.8 is no binary fraction
+        near = np.flatnonzero(left & (common * 1_000_000 >= round(similarity * 1_000_000) * (sizes + sizes[x] - common)))
+        left[near] = False
+        one += [nodes[x]] * len(near)
+        other += [nodes[y] for y in near]
+        queue += near.tolist()
+    return one, other
+
+
+def similar(texts: DataFrame, width: int, similarity: float) -> DataFrame:
+    """Links (a, b) that connect the nodes of (root, node, text) with one root and a shingle similarity as high.
+
+    A large root's nodes are cut into blocks; a task holds those of two blocks."""
+    sizes = texts.groupBy("root").agg(F.count("*").alias("n")).where(F.col("n") > BLOCK)
+    count = F.coalesce(F.ceil(F.col("n") / BLOCK), F.lit(1))
+    dealt = texts.join(F.broadcast(sizes), "root", "left").withColumn("blocks", count).withColumn("own", F.pmod(F.xxhash64("node"), F.col("blocks")))
+    dealt = dealt.withColumn("with", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
+    rows = dealt.select("root", F.least("own", "with").alias("low"), F.greatest("own", "with").alias("high"), "node", "text")
+
+    def run(batches):
+        group, nodes, sets = None, [], []
+        for batch in itertools.chain(batches, [None]):
+            read = [] if batch is None else zip(*(batch.column(i).to_pylist() for i in range(4)), encoded(batch.column(4)), strict=True)
+            for *key, node, text in itertools.chain(read, [(None, None, None, None, b"")] if batch is None else []):
+                if key != group:
+                    if len(nodes) > 1:
+                        a, b = alike(nodes, sets, similarity)
+                        yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
+                    group, nodes, sets = key, [], []
+                if batch is not None:
+                    nodes.append(node)
+                    sets.append(np.unique(shingles(text, width)))
+
+    names = ["root", "low", "high"]
+    return rows.repartition(*names).sortWithinPartitions(*names).mapInArrow(run, "a long, b long").distinct()
 
 
 def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", width: int = 4, distance: int = 4, bits: int = 64) -> DataFrame:
@@ -174,17 +253,30 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     docs = docs.select(*(c for c in docs.columns if c not in ("node", "component_id")))
     marked = stored(fingerprints(docs, width, bits, text).withColumn("node", F.xxhash64("fp") if bits > 64 else F.element_at("fp", 1)))
     distinct = stored(marked.groupBy("node").agg(F.min(doc_id).alias("least_id"), F.first("fp").alias("fp")))
-    found = components(links(distinct.select("node", "fp"), distance, bits)).withColumnRenamed("node", "linked")
+    found = components(links(distinct.select("node", "fp"), distance, bits))
+    return named(marked, distinct, found).drop("node")
+
+
+def named(marked: DataFrame, distinct: DataFrame, found: DataFrame) -> DataFrame:
+    """marked with the component_id of its nodes, the least least_id in each component found."""
+    found = found.withColumnRenamed("node", "linked")
     rooted = distinct.join(found, distinct["node"] == found["linked"], "left").select("node", "least_id", F.coalesce("root", "node").alias("root"))
-    named = rooted.join(rooted.groupBy("root").agg(F.min("least_id").alias("component_id")), "root").select("node", "component_id")
-    return marked.join(named, "node").drop("node")
+    names = rooted.join(rooted.groupBy("root").agg(F.min("least_id").alias("component_id")), "root").select("node", "component_id")
+    return marked.join(names, "node")
 
 
 def representatives(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", width: int = 5, similarity: float = 0.8, bits: int = WIDE) -> DataFrame:
     """The documents left when one of each group of near-duplicates stays: the one of the least doc_id (a null
     one last), and of rows that share it one that a hash of the text decides. Their columns are those of docs."""
     keyed = docs.select(F.struct("*").alias("row"), F.xxhash64(doc_id, text).alias("key"))
-    found = near_duplicates(keyed.select(f"row.{doc_id}", "key", f"row.{text}"), doc_id, text, width, distance_of(similarity, bits), bits)
+    marked = fingerprints(keyed.select(f"row.{doc_id}", "key", f"row.{text}"), width, bits, text)
+    marked = stored(marked.withColumn("node", F.xxhash64("fp")))
+    distinct = stored(marked.groupBy("node").agg(F.min(doc_id).alias("least_id"), F.first("fp").alias("fp"), F.min("key").alias("key")))
+    near = components(links(distinct.select("node", "fp"), distance_of(similarity), bits)).withColumnRenamed("node", "linked")
+    chosen = distinct.join(near, distinct["node"] == near["linked"]).select("key", F.struct("node", "root").alias("of"))
+    texts = joined(keyed.select("key", F.col(f"row.{text}").cast("string").alias("text")), stored(chosen)).where("of is not null")
+    texts = stored(texts.dropDuplicates(["key"]).select("of.root", "of.node", "text"))
+    found = named(marked, distinct, components(similar(texts, width, similarity)))
     rows = stored(found.groupBy("key", "component_id").agg(F.min(doc_id).alias("id"), F.count("*").alias("n")))
     chosen = rows.groupBy("component_id").agg(F.min(F.struct(F.col("id").isNull().alias("none"), "id", "key")).alias("least")).select(F.col("least.key").alias("key"), F.lit(True).alias("stays"))
     # rows to drop, and rows that repeat in full and share a key: one of those stays

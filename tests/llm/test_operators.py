@@ -127,6 +127,43 @@ def test_representatives_keep_one_of_each_group(spark):
     assert simhash.representatives(repeated).count() == 1
 
 
+def jaccard(a, b, width=5):
+    one, other = ({tuple(w[i : i + width]) for i in range(max(1, len(w) - width + 1))} for w in (a, b))
+    return len(one & other) / len(one | other)
+
+
+@pytest.mark.parametrize("block", [8, 512])
+def test_representatives_match_brute_force_similarity(spark, block, monkeypatch):
+    monkeypatch.setattr(simhash, "BLOCK", block)
+    rng = random.Random(6)
+    texts, pairs = [], []
+    for k in range(300):
+        base = [f"k{k}v{rng.randint(0, 9000)}" for _ in range(rng.randint(150, 400))]
+        near = list(base)
+        # a run of one in n changed words breaks about one in n shingles: similarities from 0.70 to 0.90
+        n = max(1, round(len(base) * rng.uniform(0.05, 0.18)) - 4)
+        at = rng.randint(5, len(base) - n - 5)
+        near[at : at + n] = [f"z{k}z{i}" for i in range(n)]
+        pairs.append(jaccard(base, near))
+        texts += [base, near]
+    family = [f"f{i}" for i in range(300)]
+    texts += [[*family[: 30 * k], "odd", str(k), *family[30 * k :]] for k in range(10)] * 2
+    left = {r["doc_id"] for r in simhash.representatives(documents(spark, [" ".join(t) for t in texts])).collect()}
+    assert {d for d in left if d >= 600} == {600}
+    like = [k for k, s in enumerate(pairs) if s >= 0.8]
+    assert len(like) > 80 and sum(s < 0.8 for s in pairs) > 80
+    assert all(2 * k in left for k in range(300))
+    assert all(2 * k + 1 in left for k, s in enumerate(pairs) if s < 0.8)
+    assert sum(2 * k + 1 not in left for k in like) >= 0.98 * len(like)
+
+
+def test_wide_fingerprints_are_of_shingle_sets():
+    words = [f"w{i}".encode() for i in range(60)]
+    once, often = b" ".join(words), b" ".join(words[:30] * 9 + words)
+    apart = sum(bin((a ^ b) & (2**64 - 1)).count("1") for a, b in zip(simhash.fingerprint(once, 5, 512), simhash.fingerprint(often, 5, 512)))
+    assert apart <= 110
+
+
 def test_components(spark):
     links = spark.createDataFrame([(i, i + 1) for i in range(0, 40)] + [(100, 101), (103, 102), (7, 7), (None, 3)], "a long, b long")
     found = {r["node"]: r["root"] for r in graph.components(links).collect()}
