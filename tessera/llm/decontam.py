@@ -162,6 +162,7 @@ def matches(docs: DataFrame, benchmark: DataFrame, rate: float = RATE, min_words
 
 def clean(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame:
     """The documents in which no item is found."""
-    found = stored(matches(docs, benchmark, **options).select(F.xxhash64("doc_id").alias("key"), F.lit(True).alias("hit")).distinct())
-    keyed = docs.select(F.struct("*").alias("row"), F.xxhash64("doc_id").alias("key"))
+    keyed = docs.select(F.struct("*").alias("row"), F.xxhash64("doc_id", "text").alias("key"))  # ids may be null or shared
+    found = matches(keyed.select(F.col("key").alias("doc_id"), F.col("row.text").alias("text")), benchmark, **options)
+    found = stored(found.select(F.col("doc_id").alias("key"), F.lit(True).alias("hit")).distinct())
     return joined(keyed, found).where("hit is null").select("row.*")

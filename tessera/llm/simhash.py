@@ -253,16 +253,15 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     docs = docs.select(*(c for c in docs.columns if c not in ("node", "component_id")))
     marked = stored(fingerprints(docs, width, bits, text).withColumn("node", F.xxhash64("fp") if bits > 64 else F.element_at("fp", 1)))
     distinct = stored(marked.groupBy("node").agg(F.min(doc_id).alias("least_id"), F.first("fp").alias("fp")))
-    found = components(links(distinct.select("node", "fp"), distance, bits))
-    return named(marked, distinct, found).drop("node")
+    of = rooted(distinct, components(links(distinct.select("node", "fp"), distance, bits)))
+    names = of.join(of.groupBy("root").agg(F.min("least_id").alias("component_id")), "root").select("node", "component_id")
+    return marked.join(names, "node").drop("node")
 
 
-def named(marked: DataFrame, distinct: DataFrame, found: DataFrame) -> DataFrame:
-    """marked with the component_id of its nodes, the least least_id in each component found."""
+def rooted(distinct: DataFrame, found: DataFrame) -> DataFrame:
+    """(node, least_id, root): the root that components found, or the node itself."""
     found = found.withColumnRenamed("node", "linked")
-    rooted = distinct.join(found, distinct["node"] == found["linked"], "left").select("node", "least_id", F.coalesce("root", "node").alias("root"))
-    names = rooted.join(rooted.groupBy("root").agg(F.min("least_id").alias("component_id")), "root").select("node", "component_id")
-    return marked.join(names, "node")
+    return distinct.join(found, distinct["node"] == found["linked"], "left").select("node", "least_id", F.coalesce("root", "node").alias("root"))
 
 
 def representatives(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", width: int = 5, similarity: float = 0.8, bits: int = WIDE) -> DataFrame:
@@ -276,9 +275,10 @@ def representatives(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     chosen = distinct.join(near, distinct["node"] == near["linked"]).select("key", F.struct("node", "root").alias("of"))
     texts = joined(keyed.select("key", F.col(f"row.{text}").cast("string").alias("text")), stored(chosen)).where("of is not null")
     texts = stored(texts.dropDuplicates(["key"]).select("of.root", "of.node", "text"))
-    found = named(marked, distinct, components(similar(texts, width, similarity)))
-    rows = stored(found.groupBy("key", "component_id").agg(F.min(doc_id).alias("id"), F.count("*").alias("n")))
-    chosen = rows.groupBy("component_id").agg(F.min(F.struct(F.col("id").isNull().alias("none"), "id", "key")).alias("least")).select(F.col("least.key").alias("key"), F.lit(True).alias("stays"))
+    found = rooted(distinct, components(similar(texts, width, similarity))).select("node", "root")
+    # by root: ids may be null or shared by unlike texts
+    rows = stored(marked.groupBy("key", "node").agg(F.min(doc_id).alias("id"), F.count("*").alias("n")).join(found, "node"))
+    chosen = rows.groupBy("root").agg(F.min(F.struct(F.col("id").isNull().alias("none"), "id", "key")).alias("least")).select(F.col("least.key").alias("key"), F.lit(True).alias("stays"))
     # rows to drop, and rows that repeat in full and share a key: one of those stays
     marks = stored(rows.join(chosen, "key", "left").where("stays is null or n > 1").select("key", F.coalesce("stays", F.lit(False)).alias("stays")))
     marked = joined(keyed, marks)

@@ -161,7 +161,13 @@ def test_wide_fingerprints_are_of_shingle_sets():
     words = [f"w{i}".encode() for i in range(60)]
     once, often = b" ".join(words), b" ".join(words[:30] * 9 + words)
     apart = sum(bin((a ^ b) & (2**64 - 1)).count("1") for a, b in zip(simhash.fingerprint(once, 5, 512), simhash.fingerprint(often, 5, 512)))
-    assert apart <= 110
+    assert apart <= 78
+
+
+def test_representatives_tell_rows_without_or_with_shared_ids_apart(spark):
+    texts = [" ".join(f"t{k}w{i}" for i in range(40)) for k in range(6)]
+    docs = documents(spark, texts + texts[:1], [None, None, None, 4, 4, 4, None])
+    assert sorted(r["text"] for r in simhash.representatives(docs).collect()) == sorted(texts)
 
 
 def test_components(spark):
@@ -413,3 +419,10 @@ def test_decontamination_matches_brute_force(spark):
     left = decontam.clean(documents(spark, texts), bench)
     assert {r["doc_id"] for r in left.collect()} == set(range(len(texts))) - {d for d, _ in want}
     assert decontam.matches(documents(spark, texts), bench.limit(0)).count() == 0
+
+
+def test_decontamination_tells_rows_without_or_with_shared_ids_apart(spark):
+    item = " ".join(f"q{i}" for i in range(20))
+    texts = [f"a {item}", "b c d", "e f", f"g {item}", "h i", None]
+    docs, bench = documents(spark, texts, [None, None, 3, 3, 3, None]), spark.createDataFrame([(1, item)], "item_id long, text string")
+    assert multiset((r["doc_id"], r["text"]) for r in decontam.clean(docs, bench).collect()) == multiset([(None, "b c d"), (3, "e f"), (3, "h i"), (None, None)])
