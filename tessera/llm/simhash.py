@@ -45,6 +45,8 @@ WIDE, SKETCH = 512, 256
 PARTNERS = (1, 37, 22)
 #: Up to so many rows under one key all pairs are compared; above, a search that drops what it has reached.
 SMALL = 32
+#: Rows under one key up to which a task holds them all; more are cut into blocks of about so many, compared by twos.
+GROUP = 1 << 14
 #: Texts in a block whose shingle sets are compared; a task holds two blocks of a group at most.
 BLOCK = 512
 
@@ -158,16 +160,28 @@ def wide_keys(distinct: DataFrame, bits: int) -> DataFrame:
     return distinct.select(F.explode(keys).alias("key"), "node", F.slice("fp", 1, SKETCH // 64).alias("fp"))
 
 
+def bounded(rows: DataFrame) -> DataFrame:
+    """rows with large keys cut into blocks: a row goes once to each pair of its own and another block, so any two meet."""
+    sizes = rows.groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") > GROUP)
+    blocks, first = F.ceil(F.col("n") / GROUP), F.lit(0).cast("long")
+    own = F.pmod(F.xxhash64("node"), blocks)
+    pairs = F.transform(F.sequence(first, blocks - 1), lambda other: F.xxhash64("key", F.least(own, other), F.greatest(own, other)))
+    keys = F.when(F.col("n").isNull(), F.array("key")).otherwise(pairs)
+    return rows.join(F.broadcast(sizes), "key", "left").select(F.explode(keys).alias("key"), "node", "fp")
+
+
 def links(distinct: DataFrame, distance: int, bits: int = 64) -> DataFrame:
     """Links (a, b) between nodes of (node, fp) that connect what the segments bring together within the
     distance. Of wide fingerprints it is the distance in the first SKETCH bits."""
+    n = distinct.count()
     if bits == 64:
-        n = distinct.count()
         count = next((m for most, m in SEGMENTS.items() if n <= most), 2)
         cuts = [64 * s // count for s in range(count + 1)]
         rows = looked_up(distinct, [(a, b - a) for a, b in zip(cuts, cuts[1:], strict=False)], distance // count)
     else:
         rows = wide_keys(distinct, bits)
+    if n > GROUP:
+        rows = bounded(rows)
     held = min(bits, SKETCH) // 64
 
     def run(batches):

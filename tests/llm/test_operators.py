@@ -127,6 +127,21 @@ def test_representatives_keep_one_of_each_group(spark):
     assert simhash.representatives(repeated).count() == 1
 
 
+def test_large_keys_are_cut_into_blocks(spark, monkeypatch):
+    monkeypatch.setattr(simhash, "GROUP", 16)
+    monkeypatch.setattr(simhash, "SMALL", 4)
+    rng = random.Random(7)
+    # one template: all values share the lowest segment
+    values = sorted({rng.getrandbits(30) << 30 & ~(rng.getrandbits(60) & rng.getrandbits(60)) | 5 for _ in range(60)} | {(1 << b | 1 << c) << 30 | 5 for b in range(12) for c in range(b)})
+    table = spark.createDataFrame([(v, [v]) for v in values], "node long, fp array<long>")
+    rows = simhash.looked_up(table, [(0, 21), (21, 21), (42, 22)], 1)
+    assert max(r["count"] for r in rows.groupBy("key").count().collect()) > 100
+    assert max(r["count"] for r in simhash.bounded(rows).groupBy("key").count().collect()) <= 3 * 16
+    found = {r["node"]: r["root"] for r in graph.components(simhash.links(table, 4)).collect()}
+    want = components(values, values, 4)
+    assert [found.get(v, v) for v in values] == want
+
+
 def jaccard(a, b, width=5):
     one, other = ({tuple(w[i : i + width]) for i in range(max(1, len(w) - width + 1))} for w in (a, b))
     return len(one & other) / len(one | other)
