@@ -1,27 +1,30 @@
 """Toxicity by the nearest labelled examples under exact TF-IDF cosine.
 
-Terms are words and word beginnings of 4 and 5 letters. Fitting reads at most `examples` labelled
-rows, those with the least hash of their id (a documented bound: they and what is made of them are
-the only data that reach the driver). Terms that mark toxic texts are chosen by their chi-squared
-link to the label, so high that hardly one of a million terms reaches it by chance. Each example's
-vector over these terms goes into an inverted index whose postings are cut into blocks of examples,
-with the greatest weight of each term in each block. Document frequencies of the terms are counted
-over all documents. A text is scored by its k nearest examples: blocks are
-read from the highest possible cosine downwards until no block left can hold a nearer one. Their
-distance-weighted vote is mapped to a probability by a logistic curve fitted on the examples, each
-voted on by the others; texts that share no term with any example get the share of toxic ones
-among such examples.
+Terms are words and word beginnings of 4 letters, all of those in the examples. Fitting reads at most
+`examples` labelled rows, those with the least hash of their id (a documented bound: they and what is made
+of them are the only data that reach the driver). Document frequencies of the terms are counted over all
+documents. A term's inverse document frequency is multiplied by its relevance factor, log2(1 + r), where r
+is how much more often toxic examples hold the term than clean ones do, drawn towards 1 where few hold it
+(the tf.rf weighting of text categorisation): it is 1 for a term that says nothing and never 0, so every
+text with a word in common with an example has neighbours.
+
+Each example's unit vector goes into an inverted index whose postings are cut into blocks of examples,
+with the greatest weight of each term in each block. A text's rare terms are added up over all their
+postings; its frequent terms where they matter, in those blocks whose greatest sum so far and greatest weights could
+still reach the k nearest, so no nearer example is missed. The distance-weighted vote of the k nearest is
+mapped to a probability by a logistic curve fitted on the examples, each voted on by the others; texts
+that share no term with any example get the share of toxic ones among such examples.
 
 Defined results: a null or empty text has no terms and gets that share; with no labelled rows
-every score is 0; a document labelled twice counts as toxic if any of its labels is; a row that
-repeats is scored each time; other columns of either table are ignored.
+every score is 0; a document labelled twice counts as toxic if any of its labels is, and of documents
+that share an id the least text is learned from; a row that repeats is scored each time; of examples
+equally near the one that stands first in the index counts; other columns of either table are ignored.
 """
 
 from __future__ import annotations
 
 import math
 import re
-from collections import Counter
 
 import numpy as np
 import pyarrow as pa
@@ -32,92 +35,106 @@ from pyspark.sql import types as T
 from tessera.llm.common import fold, stored
 from tessera.llm.sieve import joined
 
-EXAMPLES, TERMS, CHI, NEAREST, POSTING_BLOCK = 16_000, 4096, 40.0, 15, 64
+EXAMPLES, NEAREST, POSTING_BLOCK = 4096, 15, 64
+#: Terms in more than this share of the examples are frequent: their postings are kept as rows of a matrix.
+FREQUENT = 1 / 16
+#: Examples by which a term's relevance is drawn towards none.
+PRIOR = 20.0
 TOKEN = re.compile(r"[^\W\d_]+")
-PARTS = (4, 5)
-#: Words, and results of short texts, that a worker keeps.
-CACHE, RESULTS = 100_000, 4096
+BEGINNING = 4
 
 
-def terms_of(word: str) -> list[str]:
-    return [word, *(f"{word[:n]}*" for n in PARTS if len(word) > n)]
+def terms_of(word: str) -> tuple[str, ...]:
+    return (word, f"{word[:BEGINNING]}*") if len(word) > BEGINNING else (word,)
 
 
 class Counted:
-    """Counts of the known terms in texts; what a word holds is looked up once."""
+    """The known terms of texts, in ascending order, and how often each stands there."""
 
     def __init__(self, terms: dict[str, int]):
-        self.terms, self.seen = terms, {}
-
-    def __call__(self, text: str | None) -> dict[int, int]:
-        if not text:
-            return {}
-        if len(self.seen) > CACHE:
-            self.seen = {}
-        seen, words = self.seen, TOKEN.findall(text.lower())
-        for w in set(words).difference(seen):
-            seen[w] = tuple(self.terms[t] for t in terms_of(w) if t in self.terms)
-        counts: Counter[int] = Counter()
-        for held in filter(None, map(seen.__getitem__, words)):
-            counts.update(held)
-        return counts
+        self.words, self.beginnings = terms, {t[:-1]: i for t, i in terms.items() if t.endswith("*")}
+
+    def __call__(self, text: str | None) -> tuple[np.ndarray, np.ndarray]:
+        words, word, beginning = TOKEN.findall(text.lower()) if text else [], self.words.get, self.beginnings.get
+        held = [word(w, -1) for w in words] + [beginning(w[:BEGINNING], -1) for w in words if len(w) > BEGINNING]
+        held = np.array(held, dtype=np.int64)
+        return np.unique(held[held >= 0], return_counts=True)
+
+
+def terms_and_counts(counts) -> tuple[np.ndarray, np.ndarray]:
+    """Of a dictionary, or of the two arrays themselves."""
+    if isinstance(counts, dict):
+        return np.fromiter(counts.keys(), dtype=np.int64, count=len(counts)), np.fromiter(counts.values(), dtype=np.int64, count=len(counts))
+    return counts
 
 
 class Index:
-    """Unit TF-IDF vectors of the examples as block-max postings."""
+    """Unit TF-IDF vectors of the examples as block-max postings; `idf` is the weight of each term."""
 
-    def __init__(self, idf: np.ndarray, examples: list[tuple[int, int, dict[int, int]]], nearest: int):
+    def __init__(self, idf: np.ndarray, examples: list[tuple], nearest: int):
         self.idf, self.nearest = idf, nearest
+        examples = [e for e in examples if len(terms_and_counts(e[2])[0])]
+        units = {e[0]: self.vector(e[2]) for e in examples}
         # examples with like vectors share blocks, which makes the bounds tight
-        examples = sorted((e for e in examples if e[2]), key=lambda e: (sorted(e[2]), e[0]))
-        self.ids = np.array([e[0] for e in examples], dtype=np.int64)
+        heaviest = {i: int(t[np.argmax(w)]) for i, (t, w) in units.items()}
+        examples = sorted(examples, key=lambda e: (-e[1], heaviest[e[0]], e[0]))
+        self.ids = [e[0] for e in examples]
         self.toxic = np.array([e[1] for e in examples], dtype=np.float64)
-        self.blocks = -(-len(examples) // POSTING_BLOCK)
-        self.most = np.zeros((len(idf), self.blocks), dtype=np.float32)
-        postings: list[dict[int, tuple[list[int], list[float]]]] = [{} for _ in idf]
-        for i, (_, _, counts) in enumerate(examples):
-            block, at = divmod(i, POSTING_BLOCK)
-            for t, w in self.unit(counts):
-                places, weights = postings[t].setdefault(block, ([], []))
-                places.append(at)
-                weights.append(w)
-                self.most[t, block] = max(self.most[t, block], np.nextafter(np.float32(w), np.float32(2)))
-        self.postings = [{b: (np.array(p), np.array(w)) for b, (p, w) in of.items()} for of in postings]
-        self.known: dict = {}
-
-    def unit(self, counts: dict[int, int]) -> list[tuple[int, float]]:
-        raw = [(t, (1 + math.log(n)) * self.idf[t]) for t, n in sorted(counts.items())]
-        length = math.sqrt(sum(w * w for _, w in raw)) or 1.0
-        return [(t, w / length) for t, w in raw]
-
-    def near(self, counts: dict[int, int], but: int = -1) -> tuple[np.ndarray, np.ndarray]:
+        n = len(examples)
+        self.blocks = -(-n // POSTING_BLOCK)
+        lengths = [len(units[i][0]) for i in self.ids]
+        terms = np.concatenate([np.empty(0, dtype=np.int64), *(units[i][0] for i in self.ids)])
+        weights = np.concatenate([np.empty(0), *(units[i][1] for i in self.ids)])
+        order = np.argsort(terms, kind="stable")
+        self.weights, self.places = weights[order], np.repeat(np.arange(n, dtype=np.int32), lengths)[order]
+        self.starts = np.searchsorted(terms[order], np.arange(len(idf) + 1))
+        many = np.flatnonzero(np.diff(self.starts) > max(POSTING_BLOCK, FREQUENT * n))
+        self.row = np.full(len(idf), -1, dtype=np.int64)
+        self.row[many] = np.arange(len(many))
+        self.matrix = np.zeros((len(many), self.blocks, POSTING_BLOCK))
+        for r, t in enumerate(many):
+            at = slice(self.starts[t], self.starts[t + 1])
+            self.matrix[r].reshape(-1)[self.places[at]] = self.weights[at]
+        self.most = self.matrix.max(axis=2, initial=0.0)
+
+    def vector(self, counts) -> tuple[np.ndarray, np.ndarray]:
+        terms, times = terms_and_counts(counts)
+        raw = (1 + np.log(times)) * self.idf[terms]
+        return terms, raw / (math.sqrt(float(raw @ raw)) or 1.0)
+
+    def unit(self, counts) -> list[tuple[int, float]]:
+        terms, weights = self.vector(counts)
+        return list(zip(terms.tolist(), weights.tolist(), strict=True))
+
+    def near(self, counts, but: int = -1) -> tuple[np.ndarray, np.ndarray]:
         """Places and cosines of the nearest examples, the nearest first; `but` is left out."""
-        query = self.unit(counts)
-        if not query or not self.blocks:
+        terms, weights = self.vector(counts)
+        if not len(terms) or not self.blocks:
             return np.empty(0, dtype=np.int64), np.empty(0)
-        bounds = np.array([w for _, w in query]) @ self.most[[t for t, _ in query]].astype(np.float64)
-        order = np.argsort(-bounds, kind="stable")
-        places, scores, least = np.empty(0, dtype=np.int64), np.empty(0), 0.0
-        for block in order:
-            if bounds[block] <= least:
-                break
-            here = np.zeros(POSTING_BLOCK)
-            for t, w in query:
-                if (held := self.postings[t].get(int(block))) is not None:
-                    here[held[0]] += w * held[1]
-            at = np.flatnonzero(here > least)
-            if but >= 0:
-                at = at[at + block * POSTING_BLOCK != but]
-            places, scores = np.concatenate([places, at + block * POSTING_BLOCK]), np.concatenate([scores, here[at]])
-            if len(scores) > self.nearest:
-                best = np.argsort(-scores, kind="stable")[: self.nearest]
-                places, scores = places[best], scores[best]
-            if len(scores) == self.nearest:
-                least = scores.min()
-        best = np.argsort(-scores, kind="stable")
-        return places[best], scores[best]
-
-    def vote(self, counts: dict[int, int], but: int = -1) -> tuple[float, float, np.ndarray] | None:
+        rows = self.row[terms]
+        rare, rows, frequent = rows < 0, rows[rows >= 0], weights[rows >= 0]
+        first, sizes = self.starts[terms[rare]], self.starts[terms[rare] + 1] - self.starts[terms[rare]]
+        at = np.repeat(first - np.cumsum(sizes) + sizes, sizes) + np.arange(int(sizes.sum()))
+        sums = np.bincount(self.places[at], weights=np.repeat(weights[rare], sizes) * self.weights[at], minlength=self.blocks * POSTING_BLOCK).astype(np.float64)
+        if but >= 0:
+            sums[but] = -2.0
+        # what is known so far of the k-th nearest; a block that cannot reach it holds none of them
+        least = max(0.0, np.partition(sums, len(sums) - self.nearest)[len(sums) - self.nearest]) if len(sums) > self.nearest else 0.0
+        sums = sums.reshape(self.blocks, POSTING_BLOCK)
+        bounds = sums.max(axis=1) + frequent @ self.most[rows]
+        left = np.flatnonzero(bounds * (1 + 1e-9) >= least)
+        if 3 * len(left) > self.blocks:  # whole rows are read faster than most of their blocks
+            sums += (frequent @ self.matrix[rows].reshape(len(rows), sums.size)).reshape(sums.shape)
+        else:
+            sums[left] += (frequent @ self.matrix[rows[:, None], left].reshape(len(rows), len(left) * POSTING_BLOCK)).reshape(len(left), -1)
+        sums = sums.reshape(-1)
+        if len(sums) > self.nearest:
+            least = max(least, np.partition(sums, len(sums) - self.nearest)[len(sums) - self.nearest])
+        cells = np.flatnonzero((sums > 0) & (sums >= least))
+        order = np.argsort(-sums[cells], kind="stable")[: self.nearest]
+        return cells[order], sums[cells[order]]
+
+    def vote(self, counts, but: int = -1) -> tuple[float, float, np.ndarray] | None:
         """Share of toxic neighbours weighted by nearness, the nearest cosine, and the neighbours."""
         places, scores = self.near(counts, but)
         if not len(places):
@@ -142,25 +159,17 @@ def logistic(x: np.ndarray, y: np.ndarray) -> np.ndarray:
 
 
 class Model:
-    def __init__(self, terms: dict[str, int], index: Index, examples: list[tuple[int, int, dict[int, int]]]):
-        self.terms, self.index = terms, index
-        none = [y for _, y, counts in examples if not counts]
-        self.none = (sum(none) / (len(none) + 2)) if examples else 0.0
-        place = {int(d): i for i, d in enumerate(index.ids)}
-        voted = [(y, v) for d, y, counts in examples if counts and (v := index.vote(counts, place[d]))]
-        self.beta = logistic(np.array([[v[0], v[0] * v[1]] for _, v in voted]), np.array([y for y, _ in voted])) if voted else None
-
-    def score(self, counts: dict[int, int]) -> tuple[float, list[int]]:
-        if len(counts) <= 8 and (key := tuple(sorted(counts.items()))) in self.index.known:
-            return self.index.known[key]
-        voted = self.index.vote(counts) if counts else None
+    """terms: their places in idf; none: score of texts that share no term; beta: the calibration, if any."""
+
+    def __init__(self, terms: dict[str, int], index: Index, none: float, beta: np.ndarray | None):
+        self.terms, self.index, self.none, self.beta = terms, index, none, beta
+
+    def score(self, counts) -> tuple[float, list]:
+        voted = self.index.vote(counts)
         if voted is None or self.beta is None:
             return self.none, []
         z = float(self.beta @ np.array([1.0, voted[0], voted[0] * voted[1]]))
-        out = 1 / (1 + math.exp(-max(-30.0, min(30.0, z)))), self.index.ids[voted[2]].tolist()
-        if len(counts) <= 8 and len(self.index.known) < RESULTS:
-            self.index.known[key] = out
-        return out
+        return 1 / (1 + math.exp(-max(-30.0, min(30.0, z)))), [self.index.ids[p] for p in voted[2]]
 
 
 def sample(docs: DataFrame, labels: DataFrame, folds: int | None, examples: int) -> DataFrame:
@@ -169,69 +178,96 @@ def sample(docs: DataFrame, labels: DataFrame, folds: int | None, examples: int)
     if folds:
         rows = rows.where(fold(folds) != 0)
     rows = rows.groupBy("doc_id").agg(F.max((F.col("toxic") > 0).cast("int")).alias("toxic"))
-    chosen = rows.orderBy(F.xxhash64("doc_id"), "doc_id").limit(examples)  # at most `examples` rows of two numbers
+    chosen = rows.orderBy(F.xxhash64("doc_id"), "doc_id").limit(examples)  # at most `examples` rows of two values
     found = docs.select("doc_id", F.col("text").cast("string").alias("text")).join(F.broadcast(chosen), "doc_id")
-    return stored(found.dropDuplicates(["doc_id"]))
+    return stored(found.groupBy("doc_id", "toxic").agg(F.min("text").alias("text")))
 
 
-def fitted(docs: DataFrame, labels: DataFrame, folds: int | None = None, examples: int = EXAMPLES, terms: int = TERMS, nearest: int = NEAREST) -> Model:
-    spark = docs.sparkSession
-    rows = sample(docs, labels, folds, examples)
+def frequencies(docs: DataFrame, terms: dict[str, int], text: str = "text") -> np.ndarray:
+    """Of how many documents each term is one; the last number is that of all documents."""
+    sent = docs.sparkSession.sparkContext.broadcast(terms)
 
-    def present(batches):
-        for batch in batches:
-            counts: tuple[Counter, Counter] = Counter(), Counter()
-            for text, toxic in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                counts[toxic].update({t for w in set(TOKEN.findall((text or "").lower())) for t in terms_of(w)})
-            for toxic in (0, 1):
-                yield pa.RecordBatch.from_arrays([pa.array(counts[toxic].keys(), pa.string()), *(pa.array(counts[toxic].values() if toxic == k else [0] * len(counts[toxic]), pa.int64()) for k in (0, 1))], ["term", "n0", "n1"])
-
-    n = {r["toxic"]: r["n"] for r in rows.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
-    n0, n1 = float(n.get(0, 0)), float(n.get(1, 0))
-    total, a, b = n0 + n1, F.col("n1"), F.col("n0")
-    by_term = rows.select("text", "toxic").mapInArrow(present, "term string, n0 long, n1 long").groupBy("term").agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1"))
-    held = (a + b) * (F.lit(total) - a - b) * F.lit(n0) * F.lit(n1)
-    chi = F.when(held > 0, F.lit(total) * F.pow(a * (F.lit(n0) - b) - b * (F.lit(n1) - a), 2) / held).otherwise(0.0)
-    chosen = by_term.where(a * F.lit(n0) > b * F.lit(n1)).withColumn("chi", chi).where(F.col("chi") >= CHI).orderBy(F.col("chi").desc(), "term").limit(terms).collect()
-    known = {r["term"]: i for i, r in enumerate(chosen)}
-
-    def frequencies(batches):
-        counted, of, texts = Counted(known), Counter(), 0
+    def run(batches):
+        counted, held = Counted(sent.value), np.zeros(len(sent.value) + 1, dtype=np.int64)
         for batch in batches:
-            for text in batch.column(0).to_pylist():
-                of.update(counted(text).keys())
-                texts += 1
-        of[-1] = texts
-        yield pa.RecordBatch.from_arrays([pa.array(of.keys(), pa.int32()), pa.array(of.values(), pa.int64())], ["term", "n"])
-
-    df = {r["term"]: r["n"] for r in docs.select(F.col("text").cast("string")).mapInArrow(frequencies, "term int, n long").groupBy("term").agg(F.sum("n").alias("n")).collect()}
-    idf = np.array([math.log((1 + df.get(-1, 0)) / (1 + df.get(i, 0))) + 1 for i in range(len(known))])
-
-    def vectors(batches):
-        counted = Counted(known)
+            for t in batch.column(0).to_pylist():
+                held[counted(t)[0]] += 1
+                held[-1] += 1
+        at = np.flatnonzero(held)
+        yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(held[at])], ["term", "n"])
+
+    out = np.zeros(len(terms) + 1, dtype=np.int64)
+    found = docs.select(F.col(text).cast("string")).mapInArrow(run, "term int, n long").groupBy("term").agg(F.sum("n").alias("n")).toArrow()
+    out[found.column("term").to_numpy()] = found.column("n").to_numpy()
+    return out
+
+
+def relevance(examples: list[tuple], terms: int, prior: float = PRIOR) -> np.ndarray:
+    """log2(1 + r) of each term, r being the smoothed odds of toxic examples among those that hold it by those among all."""
+    held = np.zeros((2, terms))
+    for _, toxic, counts in examples:
+        held[toxic, terms_and_counts(counts)[0]] += 1
+    share = sum(e[1] for e in examples) / max(1, len(examples))
+    if not 0 < share < 1:
+        return np.ones(terms)
+    return np.log2(1 + (held[1] + prior * share) / (held[0] + prior * (1 - share)) * (1 - share) / share)
+
+
+def fitted(docs: DataFrame, labels: DataFrame, folds: int | None = None, examples: int = EXAMPLES, nearest: int = NEAREST) -> Model:
+    rows = sample(docs, labels, folds, examples)
+    known: dict[str, int] = {}
+    read = rows.select("doc_id", "toxic", F.coalesce("text", F.lit("")).alias("text")).collect()
+    read = sorted((r["doc_id"], r["toxic"], r["text"]) for r in read)
+    for _, _, text in read:
+        for w in set(TOKEN.findall(text.lower())).difference(known):
+            for t in terms_of(w):
+                known.setdefault(t, len(known))
+    counted = Counted(known)
+    found = [(doc_id, toxic, counted(text)) for doc_id, toxic, text in read]
+    df = frequencies(docs, known)
+    idf = np.log((1 + df[-1]) / (1 + df[:-1])) * relevance(found, len(known))
+    index = Index(idf, found, nearest)
+    none = [toxic for _, toxic, counts in found if not len(counts[0])]
+    model = Model(known, index, (sum(none) / (len(none) + 2)) if found else 0.0, None)
+    place = {d: i for i, d in enumerate(index.ids)}
+    sent = docs.sparkSession.sparkContext.broadcast((model, place))
+
+    def votes(batches):
+        held, at = sent.value
+        counted = Counted(held.terms)
         for batch in batches:
-            found = [counted(t) for t in batch.column(2).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([list(c.keys()) for c in found], pa.list_(pa.int32())), pa.array([list(c.values()) for c in found], pa.list_(pa.int32()))], ["doc_id", "toxic", "terms", "counts"])
+            got = []
+            for doc_id, toxic, text in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
+                voted = held.index.vote(counted(text), at[doc_id]) if doc_id in at else None
+                if voted:
+                    got.append((voted[0], voted[1], toxic))
+            if got:
+                yield pa.RecordBatch.from_arrays([pa.array(x, pa.float64()) for x in zip(*got, strict=True)], ["vote", "nearest", "toxic"])
 
-    got = rows.select(F.col("doc_id").cast("long").alias("doc_id"), "toxic", "text").mapInArrow(vectors, "doc_id long, toxic int, terms array<int>, counts array<int>").collect()
-    found = sorted((r["doc_id"], r["toxic"], dict(zip(r["terms"], r["counts"], strict=True))) for r in got) if got else []
-    return Model(known, Index(idf, found, nearest), found)
+    spread = rows.select("doc_id", "toxic", "text").repartition(max(1, min(32, examples // 128)), "doc_id")
+    voted = spread.mapInArrow(votes, "vote double, nearest double, toxic double").orderBy("vote", "nearest", "toxic").collect()
+    if voted:
+        model.beta = logistic(np.array([[r["vote"], r["vote"] * r["nearest"]] for r in voted]), np.array([r["toxic"] for r in voted]))
+    return model
 
 
 def scored(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
     """The columns of docs without the text, and score, predicted and evidence (ids of the nearest examples)."""
-    sent = docs.sparkSession.sparkContext.broadcast(model)  # at most `examples` vectors over `terms` terms
+    sent = docs.sparkSession.sparkContext.broadcast(model)  # at most `examples` vectors
     kept = [c for c in docs.columns if c not in (text, "score", "predicted", "evidence")]
     schema = docs.select(*kept).schema
-    for c, kind in (("score", T.DoubleType()), ("predicted", T.IntegerType()), ("evidence", T.ArrayType(T.LongType()))):
-        schema = schema.add(c, kind)
+    whole = all(isinstance(i, int) for i in model.index.ids)
+    kind = pa.int64() if whole else pa.string()
+    for c, t in (("score", T.DoubleType()), ("predicted", T.IntegerType()), ("evidence", T.ArrayType(T.LongType() if whole else T.StringType()))):
+        schema = schema.add(c, t)
 
     def run(batches):
         counted = Counted(sent.value.terms)
         for batch in batches:
             found = [sent.value.score(counted(t)) for t in batch.column(batch.num_columns - 1).to_pylist()]
             scores = [s for s, _ in found]
-            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(scores, pa.float64()), pa.array([int(s >= 0.5) for s in scores], pa.int32()), pa.array([e for _, e in found], pa.list_(pa.int64()))], schema.names)
+            evidence = [e if whole else [str(i) for i in e] for _, e in found]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(scores, pa.float64()), pa.array([int(s >= 0.5) for s in scores], pa.int32()), pa.array(evidence, pa.list_(kind))], schema.names)
 
     return docs.select(*kept, F.col(text).cast("string")).mapInArrow(run, schema)
 
