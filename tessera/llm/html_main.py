@@ -1,15 +1,18 @@
 """Main text of web pages by tree scoring.
 
-A page is read into a tree of elements once, and its text into blocks. Elements that never hold
-the article (navigation, forms, scripts, what is named or marked as sidebar, advert, notice or
-comments) are left out as they open. Each block passes points for its length and its commas to its
-container, half of them to the next ancestor and less to those above; points are discounted by the
-share of link text. The best container is kept (the article or main element around it, if any)
-with those siblings whose points are near its own.
+A page is read into a tree of elements once, and its text into blocks. What never holds the article
+(navigation, footers, scripts, what is hidden) is left out as it opens. Forms, and elements named or marked
+as sidebar, advert, notice or comments, are only suspected until the whole page is known: one that holds
+the page's only articles, or most of its text, is a wrapper and stays (see `settled`); the others go. Each
+block left passes points for its length and its commas to its container, half of them to the next ancestor
+and less to those above; points are discounted by the share of link text. The best container is kept (the
+article or main element around it, if any) with those siblings whose points are near its own, and with
+every other article of the page that is not mostly links.
 
 Defined results: null and empty html, and pages without text, give an empty text; unclosed and
 stray tags are repaired as browsers do for paragraphs, list items and table cells; a page cut off
-in mid-tag or mid-script ends there; rows that repeat are read one by one.
+in mid-tag or mid-script ends there; elements nested over 512 deep are siblings; of containers with equal points the first is best; rows that repeat
+are read one by one.
 """
 
 from __future__ import annotations
@@ -24,10 +27,13 @@ from pyspark.sql import functions as F
 # Element names and naming habits of web pages.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style textarea title noscript iframe xmp noembed noframes template svg math canvas object audio video select".split())
-DROPPED = frozenset("head nav footer aside form button dialog menu datalist fieldset".split())
+DROPPED = frozenset("head nav footer aside button dialog menu datalist".split())
+SUSPECT = frozenset("form fieldset".split())
 BLOCK = frozenset(
     "address article aside blockquote body center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr html li main menu nav ol p pre section summary table tbody td tfoot th thead tr ul caption".split()
 )
+#: Elements deeper than this become siblings, as in browsers; what is done for each block stays bounded.
+DEPTH = 512
 #: Parts of a text, never its container.
 INNER = frozenset("p pre li ul ol dl dt dd blockquote h1 h2 h3 h4 h5 h6 hgroup table caption thead tbody tfoot tr td th figure figcaption details summary".split())
 CLOSES = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th"), "option": ("option",)}
@@ -38,6 +44,9 @@ NOT_ARTICLE = frozenset(
     replies reply respond responses search share sharing sidebar sidebars signup skip social sponsor sponsored subscribe teaser toolbar tooltip widget widgets""".split()
 )
 ROLES = frozenset("alert alertdialog banner complementary contentinfo dialog form menu menubar navigation search toolbar".split())
+COMMENTS = frozenset("comment comments commentlist disqus replies reply respond responses".split())
+#: Beginnings and ends of names that say how an element is laid out, not what it is.
+MODIFIERS = frozenset("has no with without is not show hide use enable enabled disabled on off open closed active".split())
 ARTICLE = frozenset("article articlebody body content entry hentry main post story text".split())
 
 TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[(.*?)(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)(>|\Z)", re.S)
@@ -47,32 +56,52 @@ SPACE = re.compile(r"\s+")
 
 
 class Node:
-    __slots__ = ("tag", "parent", "dropped", "bonus", "points", "chars", "links", "in_link")
+    """dropped: never part of an article; suspect: by its marks (2: as comments) hardly part of one."""
 
-    def __init__(self, tag: str, parent: Node | None, dropped: bool = False, bonus: float = 0.0):
-        self.tag, self.parent, self.dropped, self.bonus = tag, parent, dropped, bonus
+    __slots__ = ("tag", "parent", "dropped", "suspect", "bonus", "points", "chars", "links", "in_link")
+
+    def __init__(self, tag: str, parent: Node | None, dropped: bool = False, suspect: int = 0, bonus: float = 0.0):
+        self.tag, self.parent, self.dropped, self.suspect, self.bonus = tag, parent, dropped, suspect, bonus
         self.points, self.chars, self.links = 0.0, 0, 0
         self.in_link = tag == "a" or parent is not None and parent.in_link
 
 
+def parts_of(names: str) -> tuple[set[str], set[str]]:
+    """The parts of class names and ids, and those of names that do not only describe a layout."""
+    every, telling = set(), set()
+    for name in names.split():
+        parts = [p.lower() for p in NAME_PART.findall(name)]
+        every.update(parts)
+        if parts and not (parts[0] in MODIFIERS or parts[-1] in MODIFIERS):
+            telling.update(parts)
+    return every, telling
+
+
 def opened(tag: str, attributes: str, parent: Node) -> Node:
-    """The element, and whether its name or marks say that it is not part of an article."""
+    """The element, and what its name and marks say of it."""
     if parent.dropped:
         return Node(tag, parent, True)
-    dropped, bonus = tag in DROPPED or tag == "header" and not within(parent, ("article", "main")), 0.0
+    dropped, suspect, bonus = tag in DROPPED or tag == "header" and not within(parent, ("article", "main")), int(tag in SUSPECT), 0.0
     if tag in ("article", "main"):
         bonus = 25.0
     if attributes and not attributes.isspace():
         found = {m[1].lower(): m[2] or m[3] or m[4] or "" for m in ATTRIBUTE.finditer(attributes)}
-        names = {p.lower() for p in NAME_PART.findall(f"{found.get('class', '')} {found.get('id', '')}")}
-        dropped |= "hidden" in found or found.get("aria-hidden") == "true" or found.get("role", "").lower() in ROLES or "display:none" in found.get("style", "").replace(" ", "")
-        if tag not in ("html", "body", "article", "main", "h1", "p"):
-            dropped |= bool(names & NOT_ARTICLE)
-        elif tag in ("article", "p"):
-            dropped |= bool(names & {"comment", "comments", "reply", "ad", "ads", "advert", "advertisement", "sponsored", "promo", "related", "teaser", "cookie", "cookies"})
-        if names & ARTICLE or found.get("role") in ("main", "article") or found.get("itemprop", "").lower() == "articlebody":
+        every, names = parts_of(f"{found.get('class', '')} {found.get('id', '')}")
+        dropped |= "hidden" in found or found.get("aria-hidden") == "true" or "display:none" in found.get("style", "").replace(" ", "")
+        if tag not in ("html", "body", "main", "h1"):
+            if tag in ("article", "p"):
+                names &= COMMENTS | {"ad", "ads", "advert", "advertisement", "sponsored", "promo", "related", "teaser", "cookie", "cookies"}
+            suspect = 2 if names & COMMENTS else int(suspect or bool(names & NOT_ARTICLE) or found.get("role", "").lower() in ROLES)
+        if every & ARTICLE or found.get("role") in ("main", "article") or found.get("itemprop", "").lower() == "articlebody":
             bonus += 25.0
-    return Node(tag, parent, dropped, bonus)
+    return Node(tag, parent, dropped, suspect, bonus)
+
+
+def ancestors(node: Node | None):
+    """The node and all above it."""
+    while node is not None:
+        yield node
+        node = node.parent
 
 
 def within(node: Node | None, tags: tuple[str, ...]) -> Node | None:
@@ -84,34 +113,19 @@ def within(node: Node | None, tags: tuple[str, ...]) -> Node | None:
     return found
 
 
-def read(page: str) -> list[tuple[Node, str]]:
-    """Blocks of text in page order, each with its innermost block element."""
+def read(page: str) -> list[tuple[Node, list[tuple[Node, str]]]]:
+    """Blocks in page order, each with its innermost block element and its pieces of text with the element of each."""
     root = Node("#root", None)
     stack, out, parts, at, end = [root], [], [], 0, len(page)
-    linked = 0
 
     def flush() -> None:
-        nonlocal linked
         if parts:
-            text = SPACE.sub(" ", "".join(parts)).strip()
+            out.append((next(n for n in reversed(stack) if n.tag in BLOCK or n is root), parts.copy()))
             parts.clear()
-            if text:
-                home = next(n for n in reversed(stack) if n.tag in BLOCK or n is root)
-                out.append((home, text))
-                node = home
-                while node is not None:
-                    node.chars += len(text)
-                    node.links += min(linked, len(text))
-                    node = node.parent
-        linked = 0
 
     def add(text: str) -> None:
-        nonlocal linked
         if text and not stack[-1].dropped:
-            text = html.unescape(text)
-            parts.append(text)
-            if stack[-1].in_link:
-                linked += len(text)
+            parts.append((stack[-1], html.unescape(text)))
 
     def close(down_to: int) -> None:
         if any(n.tag in BLOCK for n in stack[down_to:]):
@@ -139,14 +153,14 @@ def read(page: str) -> list[tuple[Node, str]]:
             break
         if m[2]:
             if tag == "br":
-                parts.append(" ")
+                add(" ")
                 continue
             back = next((i for i in range(len(stack) - 1, 0, -1) if stack[i].tag == tag), 0)
             if back and (tag in BLOCK or not any(n.tag in BLOCK for n in stack[back + 1 :])):
                 close(back)
             continue
         if tag == "br":
-            parts.append(" ")
+            add(" ")
             continue
         if tag in BLOCK:
             flush()
@@ -165,50 +179,78 @@ def read(page: str) -> list[tuple[Node, str]]:
             shut = re.compile(rf"</{re.escape(tag)}(?=[\s/>])[^>]*(?:>|\Z)", re.I).search(page, at)
             at = shut.end() if shut else end
             continue
+        if len(stack) > DEPTH:
+            close(DEPTH)
         stack.append(opened(tag, m[4], stack[-1]))
     flush()
     return out
 
 
+def settled(read_blocks: list[tuple[Node, list[tuple[Node, str]]]]) -> list[tuple[Node, str]]:
+    """Blocks of text without what suspected elements hold, but for wrappers.
+
+    Where no article stands outside of them and less than half of the text does, those around the articles
+    are wrappers; without articles, so are those that hold over half of the text and are not comments."""
+    sizes: dict[Node, int] = {}
+    total = free = 0
+    for _, pieces in read_blocks:
+        for node, text in pieces:
+            size = len(text.strip())
+            suspected = False
+            for n in ancestors(node):
+                if n.suspect or n.tag in ("article", "main"):
+                    sizes[n] = sizes.get(n, 0) + size
+                    suspected = suspected or n.suspect > 0
+            total += size
+            free += 0 if suspected else size
+    articles = [n for n in sizes if n.tag in ("article", "main") and not n.suspect and sizes[n]]
+    if 2 * free < total and not any(all(not n.suspect for n in ancestors(a)) for a in articles):
+        most = max((sizes[a] for a in articles), default=0)
+        wrapped = [n for a in articles if 2 * sizes[a] >= most for n in ancestors(a)]
+        for n in wrapped or [n for n, size in sizes.items() if 2 * size > total and n.suspect == 1]:
+            n.suspect = 0
+    out = []
+    for home, pieces in read_blocks:
+        kept = [(n, t) for n, t in pieces if not any(a.suspect for a in ancestors(n))]
+        text = SPACE.sub(" ", "".join(t for _, t in kept)).strip()
+        if text:
+            out.append((home, text))
+            linked = min(sum(len(t) for n, t in kept if n.in_link), len(text))
+            for n in ancestors(home):
+                n.chars += len(text)
+                n.links += linked
+    return out
+
+
 def density(node: Node) -> float:
     return node.links / node.chars if node.chars else 0.0
 
 
 def main_text(page: str | None) -> str:
-    found = read(page or "")
+    found = settled(read(page or ""))
     if not found:
         return ""
-    nodes: dict[int, Node] = {}
+    nodes: dict[Node, None] = {}
     for home, text in found:
         points = 1 + text.count(",") + min(len(text) / 100, 3)
-        node, level = home, 0
+        node = home
         while node.tag in INNER and node.parent is not None:
             node = node.parent
-        while node is not None:
-            node.points += points / (1, 2, 6, 9, 12)[min(level, 4)]
-            nodes[id(node)] = node
-            node, level = node.parent, level + 1
+        for level, n in enumerate(ancestors(node)):
+            n.points += points / (1, 2, 6, 9, 12)[min(level, 4)]
+            nodes[n] = None
     score = lambda n: (n.points + n.bonus) * (1 - density(n))
-    best = max(nodes.values(), key=score)
+    best = max(nodes, key=score)
     best = within(best, ("article",)) or within(best, ("main",)) or best
-    least, keep = max(10.0, 0.2 * score(best)), {id(best)}
+    keep = {best, *(n for n in nodes if n.tag == "article" and density(n) < 0.5)}
+    least = max(10.0, 0.2 * score(best))
     for home, text in found:  # siblings: the child of best's parent that holds the block
-        node = home
-        while node is not None and node.parent is not best.parent:
-            node = node.parent
+        node = next((n for n in ancestors(home) if n.parent is best.parent), None)
         if node is not None and best.parent is not None and node is not best:
-            near = id(node) in nodes and score(node) - node.bonus >= least
+            near = node in nodes and score(node) - node.bonus >= least
             if near or node.tag == "p" and density(node) < 0.25 and len(text) > 80 or node.tag == "h1":
-                keep.add(id(node))
-
-    def kept(node: Node | None) -> bool:
-        while node is not None:
-            if id(node) in keep:
-                return True
-            node = node.parent
-        return False
-
-    return "\n\n".join(text for home, text in found if kept(home))
+                keep.add(node)
+    return "\n\n".join(text for home, text in found if any(n in keep for n in ancestors(home)))
 
 
 def extracted(pages: DataFrame, page: str = "html") -> DataFrame:

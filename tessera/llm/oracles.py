@@ -76,4 +76,13 @@ SELECT doc_id, len(words)::BIGINT AS n_words, (len(words) - coalesce(n, 0))::BIG
 FROM d LEFT JOIN kept USING (r)
 """
 
-SQL = {"op1_quality_rules": QUALITY, "op7_mix_sources": MIXING, "op10_substring_dedup": SUBSTRINGS}
+#: The given pages hold one plain article each; its marks and entities are few enough for patterns.
+MAIN_TEXT = r"""
+WITH a AS (SELECT page_id, url, regexp_extract(coalesce(html, ''), '<article>(.*)</article>', 1, 's') AS body FROM pages),
+b AS (SELECT page_id, url, list_filter(list_transform(regexp_split_to_array(body, '</?(h1|p)>'), lambda x:
+        trim(regexp_replace(regexp_replace(replace(regexp_replace(replace(x, '<br>', ' '), '</?b>', '', 'g'), '&quot;', '"'), '&amp;?', '&', 'g'), '\s+', ' ', 'g'))), lambda x: x <> '') AS blocks FROM a),
+t AS (SELECT page_id, url, array_to_string(blocks, chr(10) || chr(10)) AS text FROM b)
+SELECT page_id, url, text, length(text)::BIGINT AS n_chars FROM t
+"""
+
+SQL = {"op1_quality_rules": QUALITY, "op4_html_main_text": MAIN_TEXT, "op7_mix_sources": MIXING, "op10_substring_dedup": SUBSTRINGS}

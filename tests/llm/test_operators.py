@@ -243,6 +243,14 @@ def test_lattice_scores_match_brute_force(spark, head):
         ("<article><p>cut <a hr", "cut"),
         ("<article><p>a<!-- b --><style>p{}</style> c<script>x", "a c"),
         ("<table><tr><td>a<td>b<tr><td>c</table>", "a\n\nb\n\nc"),
+        ("<div class='layout has-sidebar'><article><p>Main text, here</p></article></div>", "Main text, here"),
+        ("<div class='site no-sidebar'><p>Main text, here</p><p>b</p></div>", "Main text, here\n\nb"),
+        ("<div class='content share-enabled'><p>Main text, here</p></div><div class=share>tell</div>", "Main text, here"),
+        ("<body><form id=f><div class=search>find</div><article><p>In a form</p></article></form>", "In a form"),
+        ("<form><div><p>No article, in a form</p></div></form><p>x</p>", "No article, in a form"),
+        ("<main><article><p>First</p></article></main><article><p>Second, and longer, with more commas</p></article>", "First\n\nSecond, and longer, with more commas"),
+        ("<div id=comments><article><p>a long comment, with commas, longer than the text</p></article></div><article><p>x</p></article>", "x"),
+        ("<p>a <span class=share>t</span> b, and more</p>", "a b, and more"),
         ("<article><div class=comment><p>no</p></div><p>yes</p><article class='comment'><p>no</p></article></article>", "yes"),
     ],
 )
@@ -250,6 +258,49 @@ def test_html_main_text(page, text):
     assert html_main.main_text(page) == text
 
 
+def test_html_main_text_of_made_pages():
+    """Pages put together from an article and what surrounds it, in any order and nesting, against the article's own blocks."""
+    rng = random.Random(21)
+    word = lambda: "".join(rng.choice("abcdefgh") for _ in range(rng.randint(1, 8)))
+    prose = lambda n: ", ".join(word() for _ in range(n))
+    around = [
+        lambda: f"<nav><ul><li><a href=/x>{prose(2)}</a><li><a href=/y>{word()}</a></ul></nav>",
+        lambda: f"<div class='{rng.choice(['ad', 'sidebar', 'cookie-notice', 'share buttons', 'relatedPosts'])}'><p>{prose(rng.randint(1, 9))}</p></div>",
+        lambda: f"<form action=/s>{word()}<input name=q></form>",
+        lambda: f"<footer>&copy; {prose(3)}</footer>",
+        lambda: f"<aside>{prose(4)}</aside>",
+        lambda: f"<section id=comments><article class=comment><p>{prose(20)}</p></article></section>",
+        lambda: f"<script>if (a < b) write('<p>{word()}</p>')</script><style>p {{}}</style><!-- <p>{word()}</p> -->",
+        lambda: f"<div style='display: none'>{prose(5)}</div>",
+    ]
+    for _ in range(300):
+        blocks, html_ = [], ""
+        for _ in range(rng.randint(1, 6)):
+            text, kind = prose(rng.randint(5, 40)), rng.choice(["p", "li", "h2", "bare", "entity"])
+            if kind == "li":
+                html_ += f"<ul><li>{text}</ul>"
+            elif kind == "entity":
+                html_ += f"<p>{text} &amp;\n\t<b>&lt;x&gt;</b><br>z"
+                text += " & <x> z"
+            elif kind == "bare":
+                html_ += f"<div>{text}</div>"
+            else:
+                html_ += f"<{kind}>{text}</{kind}>"
+            blocks.append(text)
+            if rng.random() < 0.3:
+                html_ += rng.choice(around)()
+        html_ = f"<article>{html_}</article>"
+        for _ in range(rng.randint(0, 3)):
+            html_ = f"<div class='{rng.choice(['wrap', 'layout has-sidebar', 'no-ads page'])}'>{html_}</div>"
+        before, after = ("".join(f() for f in rng.choices(around, k=rng.randint(0, 3))) for _ in range(2))
+        assert html_main.main_text(f"<!DOCTYPE html><html><head><title>{word()}</title></head><body>{before}{html_}{after}</body></html>") == "\n\n".join(blocks)
+
+
+def test_html_of_any_depth_is_read():
+    assert html_main.main_text("<article>" + "<div>a, b" * 20_000) == "\n\n".join(["a, b"] * 20_000)
+    assert html_main.main_text("<p>" + "x, " * 200_000) == ("x, " * 200_000).strip()
+
+
 def test_html_table(spark):
     pages = spark.createDataFrame([(1, "u", "<p>é</p>", "old"), (None, None, None, None), (1, "u", "<p>é</p>", "old")], "page_id long, url string, html string, text string")
     assert multiset(html_main.extracted(pages).select("page_id", "url", "text", "n_chars").collect()) == {(1, "u", "é", 1): 2, (None, None, "", 0): 1}
