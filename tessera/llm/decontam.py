@@ -5,7 +5,8 @@ replace). It is split into k + 1 pieces; a passage within k edits holds one of t
 are scanned in blocks for the rolling hashes of all pieces of each length; where one hits, the
 stretch in which the item could lie is verified by Myers' algorithm, with the item's words as bits
 of one integer. The benchmark is a stated query set: it is read in blocks of about `block_items`,
-each sent to all executors and run against all documents.
+each sent to all executors and run against all documents, one block after the other (a scan of the
+documents for each).
 
 Words are runs of letters and digits, lower-cased. Defined results: null and empty texts or items,
 and items of fewer than `min_words` words, match nothing; items with equal texts are each reported;
@@ -22,13 +23,13 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from tessera.llm.common import BLOCK_BYTES, U64, Rolling, blocks, mix, stored
 from tessera.llm.sieve import joined
 
 RATE, MIN_WORDS, BLOCK_ITEMS = 0.2, 5, 20_000
 TOKEN = re.compile(r"[^\W_]+")
-FOUND = "item_id long, distance int, first_word long, last_word long"
 
 
 def tokens(text: str | None) -> list[str]:
@@ -44,7 +45,7 @@ def pieces(m: int, budget: int) -> list[tuple[int, int]]:
 class Items:
     """Test items and the hashes of their pieces; sent to executors whole."""
 
-    def __init__(self, rows: list[tuple[int, str | None]], rate: float, min_words: int):
+    def __init__(self, rows: list[tuple], rate: float, min_words: int):
         self.words: dict[str, int] = {}
         self.items: list[tuple[int, list[int], int]] = []
         self.pieces: dict[int, dict[int, list[tuple[int, int]]]] = defaultdict(lambda: defaultdict(list))
@@ -134,11 +135,11 @@ class Items:
 def matches(docs: DataFrame, benchmark: DataFrame, rate: float = RATE, min_words: int = MIN_WORDS, block_items: int = BLOCK_ITEMS) -> DataFrame:
     """(doc_id, item_id, distance, first_word, last_word): a row per document and item found in it."""
     spark = docs.sparkSession
-    items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text"))
+    items = benchmark.select("item_id", F.col("text").cast("string").alias("text"))
     n_blocks = max(1, -(-items.count() // block_items))
-    schema = docs.select("doc_id").schema
-    for field in spark.createDataFrame([], FOUND).schema:
-        schema = schema.add(field)
+    kind = items.schema["item_id"].dataType
+    arrow = to_arrow_type(kind)
+    schema = docs.select("doc_id").schema.add("item_id", kind).add("distance", "integer").add("first_word", "long").add("last_word", "long")
     out = None
     for b in range(n_blocks):
         rows = [tuple(r) for r in items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(n_blocks)) == b).collect()]
@@ -153,9 +154,12 @@ def matches(docs: DataFrame, benchmark: DataFrame, rate: float = RATE, min_words
                     if found:
                         doc, item, *rest = zip(*found, strict=True)
                         ids = batch.column(0).take(pa.array([i + d for d in doc]))
-                        yield pa.RecordBatch.from_arrays([ids, pa.array([known.items[x][0] for x in item], pa.int64()), pa.array(rest[0], pa.int32()), *(pa.array(x, pa.int64()) for x in rest[1:])], schema.names)
+                        yield pa.RecordBatch.from_arrays([ids, pa.array([known.items[x][0] for x in item], arrow), pa.array(rest[0], pa.int32()), *(pa.array(x, pa.int64()) for x in rest[1:])], schema.names)
 
         part = docs.select("doc_id", F.col("text").cast("string")).mapInArrow(run, schema)
+        if n_blocks > 1:  # one block at a time is held by the driver and the executors
+            part = stored(part)
+            sent.unpersist()
         out = part if out is None else out.union(part)
     return out
 

@@ -6,8 +6,8 @@ found by binary search. A text's languages are ranked by cross-entropy per chara
 between the best two, with the number of characters, gives a probability by a logistic curve
 fitted on documents kept from learning, and texts below a half are marked as rejected.
 
-Fitting reads about `per_language` documents of each of at most `languages` languages, drawn by a
-hash of the id (a documented bound). Every text is scored whole.
+Fitting reads about `per_language` documents of each language, drawn by a hash of the id (a documented
+bound on the sample; every language is learned). Every text is scored whole.
 
 Defined results: a null text, or one without a letter, is `und` with score 0; with nothing to learn
 from every text is; ties go to the lesser language name; rows that repeat are judged one by one.
@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 from tessera.llm.common import U64, blocks, mix, stored
 from tessera.llm.toxicity import logistic
 
-ORDER, DISCOUNT, PER_LANGUAGE, LANGUAGES, CACHE = 4, 0.75, 3000, 256, 200_000
+ORDER, DISCOUNT, PER_LANGUAGE, CACHE = 4, 0.75, 3000, 200_000
 LETTERS = re.compile(r"[^\W\d_]+")
 UNKNOWN = "und"
 
@@ -192,10 +192,10 @@ def counted(batches):
                 yield pa.RecordBatch.from_arrays([pa.array(np.full(len(held), lang, dtype=np.int32)), pa.array(np.full(len(held), n, dtype=np.int32)), *longs, pa.array(np.bincount(back, times[at]).astype(np.int64))], ["lang", "n", "gram", "context", "shorter", "count"])
 
 
-def fitted(labelled: DataFrame, per_language: int = PER_LANGUAGE, languages: int = LANGUAGES) -> Identifier:
+def fitted(labelled: DataFrame, per_language: int = PER_LANGUAGE) -> Identifier:
     """Learns from (doc_id, text, lang)."""
     rows = labelled.where(F.col("lang").isNotNull() & F.col("text").isNotNull())
-    most = rows.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.col("n").desc(), "lang").limit(languages).collect()
+    most = rows.groupBy("lang").agg(F.count("*").alias("n")).collect()  # a row for each language
     names = sorted(r["lang"] for r in most)
     if not names:
         return Identifier([], [])

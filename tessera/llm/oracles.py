@@ -85,4 +85,20 @@ t AS (SELECT page_id, url, array_to_string(blocks, chr(10) || chr(10)) AS text F
 SELECT page_id, url, text, length(text)::BIGINT AS n_chars FROM t
 """
 
-SQL = {"op1_quality_rules": QUALITY, "op4_html_main_text": MAIN_TEXT, "op7_mix_sources": MIXING, "op10_substring_dedup": SUBSTRINGS}
+#: Windows of 400 bytes by their hexadecimal digits; those of equal hash count as equal.
+BYTES = r"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, hex(encode(coalesce(text, ''))) AS digits FROM documents),
+w AS (SELECT r, i, hash(substr(digits, 2 * i + 1, 800)) AS run FROM d, unnest(range(0, greatest(len(digits) // 2 - 399, 0))) AS s(i)),
+hit AS (SELECT r, i FROM w SEMI JOIN (SELECT run FROM w GROUP BY run HAVING count(*) > 1) USING (run)),
+-- a removed run begins where no hit begins in the 400 bytes before
+begun AS (SELECT r, i, coalesce(i - lag(i) OVER (PARTITION BY r ORDER BY i) > 400, true) AS opens FROM hit),
+runs AS (SELECT r, i, sum(opens::INT) OVER (PARTITION BY r ORDER BY i) AS nth FROM begun),
+gone AS (SELECT r, nth, min(i) AS a, max(i) + 400 AS b FROM runs GROUP BY r, nth),
+kept AS (SELECT r, string_agg(substr(digits, 2 * before + 1, 2 * (a - before)), '' ORDER BY a) AS head, max(b) AS last, sum(b - a) AS n_removed, count(*) AS n_spans
+         FROM (SELECT r, a, b, coalesce(lag(b) OVER (PARTITION BY r ORDER BY a), 0) AS before FROM gone) JOIN d USING (r) GROUP BY r)
+SELECT doc_id, (len(digits) // 2)::BIGINT AS n_bytes, coalesce(n_removed, 0)::BIGINT AS n_removed, coalesce(n_spans, 0)::BIGINT AS n_spans,
+       sha256(unhex(coalesce(head, '') || substr(digits, 2 * coalesce(last, 0) + 1))) AS kept_sha256
+FROM d LEFT JOIN kept USING (r)
+"""
+
+SQL = {"op6_suffix_array_dedup": BYTES, "op1_quality_rules": QUALITY, "op4_html_main_text": MAIN_TEXT, "op7_mix_sources": MIXING, "op10_substring_dedup": SUBSTRINGS}
