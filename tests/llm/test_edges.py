@@ -91,7 +91,7 @@ def test_stage_on_edge_rows(spark, name, tmp_path):
     if name == "toxicity":
         assert left == before  # nothing toxic is known
     elif name == "simhash_near_dedup":
-        unlike = {t or "" for t in texts if words(t or "")}
+        unlike = {t or "" for t in texts if words(t or "")} - {texts[-2]}  # near text 20
         assert unlike <= {r["text"] or "" for r in rows} and len(rows) == len(unlike) + 1  # and one without words
     elif name == "substring_dedup":
         assert Counter(r["doc_id"] for r in rows) == Counter(ids)
