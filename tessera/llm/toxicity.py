@@ -73,23 +73,35 @@ class Index:
 
     def __init__(self, idf: np.ndarray, examples: list[tuple], nearest: int):
         self.idf, self.nearest = idf, nearest
-        examples = [e for e in examples if len(terms_and_counts(e[2])[0])]
-        units = {e[0]: self.vector(e[2]) for e in examples}
+        examples = [(i, toxic, *terms_and_counts(counts)) for i, toxic, counts in examples]
         # examples with like vectors share blocks, which makes the bounds tight
-        heaviest = {i: int(t[np.argmax(w)]) for i, (t, w) in units.items()}
-        examples = sorted(examples, key=lambda e: (-e[1], heaviest[e[0]], e[0]))
+        examples = sorted((e for e in examples if len(e[2])), key=lambda e: (-e[1], int(e[2][np.argmax(self.vector(e[2:])[1])]), e[0]))
         self.ids = [e[0] for e in examples]
         self.toxic = np.array([e[1] for e in examples], dtype=np.float64)
-        n = len(examples)
-        self.blocks = -(-n // POSTING_BLOCK)
-        lengths = [len(units[i][0]) for i in self.ids]
-        terms = np.concatenate([np.empty(0, dtype=np.int64), *(units[i][0] for i in self.ids)])
-        weights = np.concatenate([np.empty(0), *(units[i][1] for i in self.ids)])
+        terms = np.concatenate([np.empty(0, dtype=np.int64), *(e[2] for e in examples)])
         order = np.argsort(terms, kind="stable")
-        self.weights, self.places = weights[order], np.repeat(np.arange(n, dtype=np.int32), lengths)[order]
         self.starts = np.searchsorted(terms[order], np.arange(len(idf) + 1))
+        self.places = np.repeat(np.arange(len(examples), dtype=np.int32), [len(e[2]) for e in examples])[order]
+        self.times = np.concatenate([np.empty(0, dtype=np.int64), *(e[3] for e in examples)])[order].astype(np.int32)
+        self.weigh()
+
+    def __getstate__(self) -> dict:
+        """What is sent: weights and the matrix of frequent terms are made again where they are used."""
+        return {k: v for k, v in self.__dict__.items() if k not in ("weights", "matrix", "most", "row")}
+
+    def __setstate__(self, state: dict) -> None:
+        self.__dict__.update(state)
+        self.weigh()
+
+    def weigh(self) -> None:
+        n = len(self.ids)
+        terms = np.repeat(np.arange(len(self.idf)), np.diff(self.starts))
+        raw = (1 + np.log(self.times)) * self.idf[terms]
+        lengths = np.sqrt(np.bincount(self.places, raw * raw, minlength=n)) if n else np.empty(0)
+        self.weights = raw / np.where(lengths > 0, lengths, 1.0)[self.places]
+        self.blocks = -(-n // POSTING_BLOCK)
         many = np.flatnonzero(np.diff(self.starts) > max(POSTING_BLOCK, FREQUENT * n))
-        self.row = np.full(len(idf), -1, dtype=np.int64)
+        self.row = np.full(len(self.idf), -1, dtype=np.int64)
         self.row[many] = np.arange(len(many))
         self.matrix = np.zeros((len(many), self.blocks, POSTING_BLOCK))
         for r, t in enumerate(many):
@@ -159,17 +171,18 @@ def logistic(x: np.ndarray, y: np.ndarray) -> np.ndarray:
 
 
 class Model:
-    """terms: their places in idf; none: score of texts that share no term; beta: the calibration, if any."""
+    """sent: the broadcast terms and index; ids of its examples; none: score of texts that share no term; beta: the calibration, if any."""
+
+    def __init__(self, sent, ids: list, none: float, beta: np.ndarray | None = None):
+        self.sent, self.ids, self.none, self.beta = sent, ids, none, beta
 
-    def __init__(self, terms: dict[str, int], index: Index, none: float, beta: np.ndarray | None):
-        self.terms, self.index, self.none, self.beta = terms, index, none, beta
 
-    def score(self, counts) -> tuple[float, list]:
-        voted = self.index.vote(counts)
-        if voted is None or self.beta is None:
-            return self.none, []
-        z = float(self.beta @ np.array([1.0, voted[0], voted[0] * voted[1]]))
-        return 1 / (1 + math.exp(-max(-30.0, min(30.0, z)))), [self.index.ids[p] for p in voted[2]]
+def score(index: Index, counts, none: float, beta: np.ndarray | None) -> tuple[float, list]:
+    voted = index.vote(counts)
+    if voted is None or beta is None:
+        return none, []
+    z = float(beta @ np.array([1.0, voted[0], voted[0] * voted[1]]))
+    return 1 / (1 + math.exp(-max(-30.0, min(30.0, z)))), [index.ids[p] for p in voted[2]]
 
 
 def sample(docs: DataFrame, labels: DataFrame, folds: int | None, examples: int) -> DataFrame:
@@ -199,6 +212,7 @@ def frequencies(docs: DataFrame, terms: dict[str, int], text: str = "text") -> n
     out = np.zeros(len(terms) + 1, dtype=np.int64)
     found = docs.select(F.col(text).cast("string")).mapInArrow(run, "term int, n long").groupBy("term").agg(F.sum("n").alias("n")).toArrow()
     out[found.column("term").to_numpy()] = found.column("n").to_numpy()
+    sent.unpersist()
     return out
 
 
@@ -228,17 +242,16 @@ def fitted(docs: DataFrame, labels: DataFrame, folds: int | None = None, example
     idf = np.log((1 + df[-1]) / (1 + df[:-1])) * relevance(found, len(known))
     index = Index(idf, found, nearest)
     none = [toxic for _, toxic, counts in found if not len(counts[0])]
-    model = Model(known, index, (sum(none) / (len(none) + 2)) if found else 0.0, None)
-    place = {d: i for i, d in enumerate(index.ids)}
-    sent = docs.sparkSession.sparkContext.broadcast((model, place))
+    sent = docs.sparkSession.sparkContext.broadcast((known, index))  # at most `examples` vectors
+    model = Model(sent, index.ids, (sum(none) / (len(none) + 2)) if found else 0.0)
 
     def votes(batches):
-        held, at = sent.value
-        counted = Counted(held.terms)
+        terms, held = sent.value
+        counted, at = Counted(terms), {d: i for i, d in enumerate(held.ids)}
         for batch in batches:
             got = []
             for doc_id, toxic, text in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
-                voted = held.index.vote(counted(text), at[doc_id]) if doc_id in at else None
+                voted = held.vote(counted(text), at[doc_id]) if doc_id in at else None
                 if voted:
                     got.append((voted[0], voted[1], toxic))
             if got:
@@ -253,18 +266,19 @@ def fitted(docs: DataFrame, labels: DataFrame, folds: int | None = None, example
 
 def scored(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
     """The columns of docs without the text, and score, predicted and evidence (ids of the nearest examples)."""
-    sent = docs.sparkSession.sparkContext.broadcast(model)  # at most `examples` vectors
+    sent, none, beta = model.sent, model.none, model.beta
     kept = [c for c in docs.columns if c not in (text, "score", "predicted", "evidence")]
     schema = docs.select(*kept).schema
-    whole = all(isinstance(i, int) for i in model.index.ids)
+    whole = all(isinstance(i, int) for i in model.ids)
     kind = pa.int64() if whole else pa.string()
     for c, t in (("score", T.DoubleType()), ("predicted", T.IntegerType()), ("evidence", T.ArrayType(T.LongType() if whole else T.StringType()))):
         schema = schema.add(c, t)
 
     def run(batches):
-        counted = Counted(sent.value.terms)
+        terms, index = sent.value
+        counted = Counted(terms)
         for batch in batches:
-            found = [sent.value.score(counted(t)) for t in batch.column(batch.num_columns - 1).to_pylist()]
+            found = [score(index, counted(t), none, beta) for t in batch.column(batch.num_columns - 1).to_pylist()]
             scores = [s for s, _ in found]
             evidence = [e if whole else [str(i) for i in e] for _, e in found]
             yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(scores, pa.float64()), pa.array([int(s >= 0.5) for s in scores], pa.int32()), pa.array(evidence, pa.list_(kind))], schema.names)
