@@ -25,6 +25,8 @@ from __future__ import annotations
 
 import math
 import re
+from collections import Counter
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
@@ -55,10 +57,13 @@ class Counted:
         self.words, self.beginnings = terms, {t[:-1]: i for t, i in terms.items() if t.endswith("*")}
 
     def __call__(self, text: str | None) -> tuple[np.ndarray, np.ndarray]:
-        words, word, beginning = TOKEN.findall(text.lower()) if text else [], self.words.get, self.beginnings.get
-        held = [word(w, -1) for w in words] + [beginning(w[:BEGINNING], -1) for w in words if len(w) > BEGINNING]
-        held = np.array(held, dtype=np.int64)
-        return np.unique(held[held >= 0], return_counts=True)
+        times = Counter(TOKEN.findall(text.lower())) if text else {}
+        words = list(times)
+        longer = [w[:BEGINNING] if len(w) > BEGINNING else "" for w in words]
+        held = np.array([*map(self.words.get, words, repeat(-1)), *map(self.beginnings.get, longer, repeat(-1))], dtype=np.int64)
+        n = np.tile(np.fromiter(times.values(), dtype=np.int64, count=len(times)), 2)
+        terms, back = np.unique(held[held >= 0], return_inverse=True)
+        return terms, np.bincount(back, n[held >= 0], minlength=len(terms)).astype(np.int64)
 
 
 def terms_and_counts(counts) -> tuple[np.ndarray, np.ndarray]:
@@ -103,7 +108,7 @@ class Index:
         many = np.flatnonzero(np.diff(self.starts) > max(POSTING_BLOCK, FREQUENT * n))
         self.row = np.full(len(self.idf), -1, dtype=np.int64)
         self.row[many] = np.arange(len(many))
-        self.matrix = np.zeros((len(many), self.blocks, POSTING_BLOCK))
+        self.matrix = np.zeros((len(many), self.blocks, POSTING_BLOCK), dtype=np.float32)
         for r, t in enumerate(many):
             at = slice(self.starts[t], self.starts[t + 1])
             self.matrix[r].reshape(-1)[self.places[at]] = self.weights[at]
@@ -124,7 +129,7 @@ class Index:
         if not len(terms) or not self.blocks:
             return np.empty(0, dtype=np.int64), np.empty(0)
         rows = self.row[terms]
-        rare, rows, frequent = rows < 0, rows[rows >= 0], weights[rows >= 0]
+        rare, rows, frequent = rows < 0, rows[rows >= 0], weights[rows >= 0].astype(np.float32)
         first, sizes = self.starts[terms[rare]], self.starts[terms[rare] + 1] - self.starts[terms[rare]]
         at = np.repeat(first - np.cumsum(sizes) + sizes, sizes) + np.arange(int(sizes.sum()))
         sums = np.bincount(self.places[at], weights=np.repeat(weights[rare], sizes) * self.weights[at], minlength=self.blocks * POSTING_BLOCK).astype(np.float64)
@@ -134,7 +139,7 @@ class Index:
         least = max(0.0, np.partition(sums, len(sums) - self.nearest)[len(sums) - self.nearest]) if len(sums) > self.nearest else 0.0
         sums = sums.reshape(self.blocks, POSTING_BLOCK)
         bounds = sums.max(axis=1) + frequent @ self.most[rows]
-        left = np.flatnonzero(bounds * (1 + 1e-9) >= least)
+        left = np.flatnonzero(bounds * (1 + 1e-5) >= least)
         if 3 * len(left) > self.blocks:  # whole rows are read faster than most of their blocks
             sums += (frequent @ self.matrix[rows].reshape(len(rows), sums.size)).reshape(sums.shape)
         else:
