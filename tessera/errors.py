@@ -15,3 +15,19 @@ class Malformed(ArrayError):
 
 class Unsupported(ArrayError):
     """A feature of a format that is not read; never answered with wrong data."""
+
+
+class NotFound(BadRequest):
+    """A variable, group, dimension or attribute of that name is not there."""
+
+
+class OutOfBounds(BadRequest):
+    """A selection reaches past the end of an axis."""
+
+
+class TypeMismatch(BadRequest):
+    """Values of one kind were asked for as another they cannot become."""
+
+
+class ChecksumMismatch(Malformed):
+    """Stored and computed sums differ."""

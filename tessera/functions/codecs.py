@@ -7,7 +7,7 @@ import zlib
 import numpy as np
 import zstandard
 
-from tessera.errors import Malformed, Unsupported
+from tessera.errors import ChecksumMismatch, Malformed, Unsupported
 
 # Registered filter numbers.
 DEFLATE, SHUFFLE, FLETCHER32, ZSTD = 1, 2, 3, 32015
@@ -67,14 +67,17 @@ def encode(data: bytes, filters: list[int], size: int) -> bytes:
 
 
 def decode(data: bytes, filters: list[int], size: int, length: int, mask: int = 0) -> bytes:
-    """Undo the filters in reverse; bit i of the mask says that filter i was left out. No more than `length` bytes are made."""
+    """Undo the filters in reverse; bit i of the mask says that filter i was left out. More than `length` bytes, with a sum, are malformed, and not made."""
     for i in reversed(range(len(filters))):
         f = filters[i]
         if mask >> i & 1:
             continue
         if f == DEFLATE:
             try:
-                data = zlib.decompressobj().decompress(data, length + 4)
+                undone = zlib.decompressobj()
+                data = undone.decompress(data, length + 5)
+                if len(data) > length + 4:
+                    raise Malformed(f"deflate: more than {length} bytes")
             except zlib.error as e:
                 raise Malformed(f"deflate: {e}") from e
         elif f == SHUFFLE:
@@ -84,10 +87,13 @@ def decode(data: bytes, filters: list[int], size: int, length: int, mask: int =
             have = fletcher32(data)
             swapped = (have & 0x00FF00FF) << 8 | have >> 8 & 0x00FF00FF  # written by a machine of the other byte order
             if int.from_bytes(tail, "little") not in (have, swapped):
-                raise Malformed("fletcher32: sums differ")
+                raise ChecksumMismatch("fletcher32: sums differ")
         elif f == ZSTD:
             try:
-                data = zstandard.ZstdDecompressor().decompressobj().decompress(data)[: length + 4]
+                with zstandard.ZstdDecompressor().stream_reader(data, closefd=False) as reader:
+                    data = reader.read(length + 5)
+                if len(data) > length + 4:
+                    raise Malformed(f"zstd: more than {length} bytes")
             except zstandard.ZstdError as e:
                 raise Malformed(f"zstd: {e}") from e
         else:

@@ -18,9 +18,9 @@ def characters(value: Column, width: int) -> Column:
 
 
 def joined(index: Column, character: Column) -> Column:
-    """Aggregate: the characters of a row in the order of their index, without trailing NULs."""
+    """Aggregate: the characters of a row in the order of their index, cut at the first NUL and without trailing blanks."""
     ordered = F.transform(F.array_sort(F.collect_list(F.struct(index.alias("i"), character.alias("c")))), lambda x: x["c"])
-    return F.regexp_replace(F.array_join(ordered, ""), "\0+$", "")
+    return F.rtrim(F.substring_index(F.array_join(ordered, ""), "\0", 1))
 
 
 def folded(values: Column) -> Column:

@@ -10,7 +10,7 @@ from math import prod
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tessera.errors import BadRequest, Unsupported
+from tessera.errors import BadRequest, OutOfBounds, Unsupported
 
 
 @dataclass(frozen=True)
@@ -55,7 +55,7 @@ class Slab:
     def checked(self, shape: Sequence[int]) -> Slab:
         for size, a, n in zip(shape, self.start, self.count, strict=True):
             if a < 0 or n < 0 or a + n > size:
-                raise BadRequest(f"{a}..{a + n} is not within 0..{size}")
+                raise OutOfBounds(f"{a}..{a + n} is not within 0..{size}")
         return self
 
     @property

@@ -5,20 +5,27 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from tessera.errors import Malformed
+from tessera.session import shared_dir
+
 # Attributes that conventions use for themselves and users are not shown.
 HIDDEN = ("CLASS", "NAME", "REFERENCE_LIST", "DIMENSION_LIST", "_Netcdf4Dimid", "_Netcdf4Coordinates", "_NCProperties", "_nc3_strict")
-MAX_DEPTH = 64
 
 
 def paths(groups: DataFrame) -> DataFrame:
-    """(id, path, depth) of (id, parent, name); roots have a null parent. One join for each level of depth."""
-    level = groups.where(F.col("parent").isNull()).select("id", F.concat(F.lit("/"), "name").alias("path"), F.lit(0).alias("depth"))
-    out = level
-    for depth in range(1, MAX_DEPTH + 1):
-        level = groups.alias("g").join(level.alias("p"), F.col("g.parent") == F.col("p.id")).select("g.id", F.concat("p.path", F.lit("/"), "g.name").alias("path"), F.lit(depth).alias("depth"))
-        if level.isEmpty():
-            break
+    """(id, path, depth) of (id, parent, name); roots have a null parent. One join for each level of depth, however
+    deep; each level is checkpointed. Groups that no root holds (a cycle, a missing parent) are malformed."""
+    spark = groups.sparkSession
+    if not spark.sparkContext.getCheckpointDir():
+        spark.sparkContext.setCheckpointDir(shared_dir(spark))
+    level = groups.where(F.col("parent").isNull()).select("id", F.concat(F.lit("/"), "name").alias("path"), F.lit(0).alias("depth")).checkpoint()
+    out, depth = level, 0
+    while not level.isEmpty():
+        depth += 1
+        level = groups.alias("g").join(level.alias("p"), F.col("g.parent") == F.col("p.id")).select("g.id", F.concat("p.path", F.lit("/"), "g.name").alias("path"), F.lit(depth).alias("depth")).checkpoint()
         out = out.union(level)
+    if not groups.select("id").join(out.select("id"), "id", "left_anti").isEmpty():
+        raise Malformed("groups that no root holds")
     return out
 
 
@@ -43,8 +50,61 @@ def coordinates(listed: DataFrame, scales: DataFrame) -> DataFrame:
     return found.join(whole, "variable", "left_semi").select("variable", "axis", "dimension")
 
 
+def scales(variables: DataFrame, attributes: DataFrame) -> DataFrame:
+    """Dimension scales among variables (file, address, path, name, ordinal, length, unlimited): those whose attribute
+    CLASS is DIMENSION_SCALE, each with its id: the number of its attribute _Netcdf4Dimid, else its place among the scales.
+
+    attributes: (file, address, name, text, number)."""
+    named = lambda name, column: F.max(F.when(F.col("name") == name, F.col(column)))
+    marks = attributes.groupBy("file", "address").agg(named("CLASS", "text").alias("class"), named("_Netcdf4Dimid", "number").alias("own"))
+    found = variables.join(marks.where("class = 'DIMENSION_SCALE'").drop("class"), ["file", "address"])
+    place = F.row_number().over(Window.partitionBy("file").orderBy("ordinal")) - 1
+    return found.withColumn("id", F.coalesce(F.col("own").cast("long"), place.cast("long"))).drop("own")
+
+
+def dimensioned(axes: DataFrame, scales: DataFrame) -> DataFrame:
+    """Axes (file, path, variable, axis, length, unlimited, reference) with the name of their dimension.
+
+    An axis that refers to a scale (file, address, path, name, length, unlimited) has its name. The others take
+    dimensions of their own group, of equal length and equally unlimited, none twice in a variable: first the
+    group's scales, then made-up ones, `phony_dim_N`. An empty axis that is not unlimited always gets one of its own.
+    Made-up dimensions are numbered through a file, after its scales: groups after those below them, in a group as
+    its variables, by name, come to need them."""
+    group, like = ["file", "path"], ["length", "unlimited"]
+    known = scales.select("file", F.col("address").alias("reference"), F.col("name").alias("scale"))
+    found = axes.join(known, ["file", "reference"], "left")
+    alone = F.when((F.col("length") == 0) & ~F.col("unlimited"), F.concat_ws("/", "variable", F.col("axis").cast("string"))).otherwise("")
+    spare = found.where("scale is null").withColumn("alone", alone)
+    kind = [*group, *like, "alone"]
+    spare = spare.withColumn("nth", F.row_number().over(Window.partitionBy(*kind, "variable").orderBy("axis")))
+    used = found.where("scale is not null").select(*group, "variable", F.col("scale").alias("name")).distinct()
+    local = scales.select(*group, *like, "name", "address", F.lit("").alias("alone"))
+    free = spare.select(*kind, "variable").distinct().join(local, kind).join(used, [*group, "variable", "name"], "left_anti")
+    free = free.withColumn("nth", F.row_number().over(Window.partitionBy(*kind, "variable").orderBy("address")))
+    counts = free.groupBy(*kind, "variable").agg(F.count("*").alias("free"))
+    taken = spare.join(free.select(*kind, "variable", "nth", F.col("name").alias("taken")), [*kind, "variable", "nth"], "left").join(counts, [*kind, "variable"], "left")
+    taken = taken.withColumn("made", F.when(F.col("taken").isNull(), F.col("nth") - F.coalesce("free", F.lit(0))))
+    first = taken.where("made is not null").groupBy(*kind, "made").agg(F.min(F.struct("variable", "axis")).alias("first"))
+    order = Window.partitionBy("file").orderBy(F.concat("path", F.lit("/\U0010ffff")), "first")
+    start = scales.groupBy("file").agg(F.count("*").alias("start"))
+    numbered = first.withColumn("number", F.row_number().over(order) - 1).join(start, "file", "left")
+    numbered = numbered.select(*kind, "made", F.concat(F.lit("phony_dim_"), (F.col("number") + F.coalesce("start", F.lit(0))).cast("string")).alias("phony"))
+    named = taken.join(numbered, [*kind, "made"], "left").select(*group, "variable", "axis", *like, F.coalesce("taken", "phony").alias("dimension"))
+    return found.where("scale is not null").select(*group, "variable", "axis", *like, F.col("scale").alias("dimension")).union(named)
+
+
+def masked(cells: DataFrame, attributes: DataFrame) -> DataFrame:
+    """Cells (path, variable, ..., value) with null for the value that the variable's own `_FillValue` names.
+
+    attributes: (path, variable, name, number), far fewer than cells; a variable without that attribute is left as it is."""
+    fills = attributes.where("name = '_FillValue'").groupBy("path", "variable").agg(F.first("number").alias("fill_value"))
+    both = cells.join(fills, ["path", "variable"], "left")
+    return both.withColumn("value", F.when(~F.col("value").eqNullSafe(F.col("fill_value")), F.col("value"))).drop("fill_value").select(*cells.columns)
+
+
 def resolved(descriptors: DataFrame, heap: DataFrame) -> DataFrame:
-    """Descriptors (..., collection, item, length) with the value each points at; of length 0, an empty one whatever it points at."""
+    """Descriptors (..., collection, item, length) with the value each points at; of length 0, an empty one whatever it
+    points at. A descriptor that points at nothing is malformed."""
     held = heap.select("collection", "item", F.col("value").alias("held"))
     joined = descriptors.join(held, ["collection", "item"], "left")
-    return joined.withColumn("value", F.when(F.col("length") == 0, F.lit("")).otherwise(F.substring("held", F.lit(1), F.col("length")))).drop("held")
+    return joined.withColumn("value", F.when(F.col("length") == 0, F.lit("")).when(F.col("held").isNull(), F.raise_error(F.lit("Malformed: a descriptor of an object that is not there"))).otherwise(F.substring("held", F.lit(1), F.col("length")))).drop("held")

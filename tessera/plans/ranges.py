@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -33,6 +34,40 @@ def coalesced(ranges: DataFrame, key: str, gap: int) -> DataFrame:
     return runs.groupBy(key, "run").agg(F.min("offset").alias("offset"), (F.max(F.col("offset") + F.col("length")) - F.min("offset")).alias("length"), F.count("*").alias("parts")).drop("run")
 
 
+#: Gap and request size, in bytes, by where the files are.
+PRESETS = {"none": (0, 0), "local": (16 << 10, 4 << 20), "remote": (1 << 20, 8 << 20)}
+
+
+def requests(ranges: DataFrame, key: str, gap: int, most: int) -> DataFrame:
+    """(key, offset, length, parts): of each file, sorted ranges merged one after the other while the gap to the
+    request so far is at most `gap` and the request stays within `most` bytes; one longer range is a request alone.
+
+    Ranges of a file come sorted to one task, which holds one open request a time."""
+    types = ranges.select(key).schema
+
+    def run(batches):
+        file, low, high, parts = None, 0, -1, 0
+        for batch in batches:
+            out: list[list] = [[] for _ in range(4)]
+            for k, offset, length in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
+                if parts and k == file and offset - high <= gap and max(high, offset + length) - low <= most:
+                    high, parts = max(high, offset + length), parts + 1
+                    continue
+                if parts:
+                    for o, x in zip(out, (file, low, high - low, parts), strict=True):
+                        o.append(x)
+                file, low, high, parts = k, offset, offset + length, 1
+            if out[0]:
+                yield pa.RecordBatch.from_arrays([pa.array(out[0], batch.column(0).type), *(pa.array(x, pa.int64()) for x in out[1:])], [key, "offset", "length", "parts"])
+            kind = batch.column(0).type
+        if parts:
+            yield pa.RecordBatch.from_arrays([pa.array([file], kind), *(pa.array([x], pa.int64()) for x in (low, high - low, parts))], [key, "offset", "length", "parts"])
+
+    rows = ranges.select(key, F.col("offset").cast("long").alias("offset"), F.col("length").cast("long").alias("length"))
+    schema = types.add("offset", "long").add("length", "long").add("parts", "long")
+    return rows.repartition(key).sortWithinPartitions(key, "offset", "length").mapInArrow(run, schema)
+
+
 def islands(pages: DataFrame, key: str, page: str) -> DataFrame:
     """(key, first, last): maximal runs of successive page numbers."""
     nth = F.row_number().over(Window.partitionBy(key).orderBy(page))

@@ -28,6 +28,19 @@ def tumbling(rows: DataFrame, time: str, width: str, late: str | None = None) ->
     return rows.groupBy(F.window(time, width)).agg(F.count("*").alias("n"), F.sum("value").alias("total")).select(F.col("window.start").alias("start"), "n", "total")
 
 
+def sliding(rows: DataFrame, time: str, width: str, step: str, late: str | None = None) -> DataFrame:
+    """As tumbling, of windows that begin every `step`: a row counts in each window it lies in."""
+    rows = rows.withWatermark(time, late) if late else rows
+    return rows.groupBy(F.window(time, width, step)).agg(F.count("*").alias("n"), F.sum("value").alias("total")).select(F.col("window.start").alias("start"), "n", "total")
+
+
+def sessions(rows: DataFrame, key: str, time: str, gap: str, late: str | None = None) -> DataFrame:
+    """Counts and sums of `value` by key and session: rows less than `gap` after the one before belong together."""
+    rows = rows.withWatermark(time, late) if late else rows
+    found = rows.groupBy(key, F.session_window(time, gap)).agg(F.count("*").alias("n"), F.sum("value").alias("total"))
+    return found.select(key, F.col("session_window.start").alias("start"), "n", "total")
+
+
 def new_files(spark: SparkSession, path: str) -> DataFrame:
     """(path, content) of files as they arrive in a folder."""
     schema = "path string, modificationTime timestamp, length bigint, content binary"
