@@ -1,4 +1,11 @@
-"""The corpus pipeline: five stages, each written and read again as the next one's documents."""
+"""The corpus pipeline: five stages, each written and read again as the next one's documents.
+
+Defined results: an empty table gives an empty one. Null and empty texts are never toxic or contaminated and lose
+no passage; of all documents without words one stays, as of all other near-duplicates. Rows are told apart by id and
+text, so null or shared ids cost no unlike text; of rows that repeat in full one stays. Of a group of near-duplicates
+the least doc_id stays (null last; a hash of the text decides ties). Columns besides doc_id, text, lang, source and
+n_chars are ignored, whatever their names. The last stage has a row for each document left, with the words taken.
+"""
 
 from __future__ import annotations
 
