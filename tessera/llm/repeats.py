@@ -17,6 +17,9 @@ from those whose run occurs twice or more:
 4. reaches go back to the occurrences by their two hashes and are merged in each text.
 
 Hashes have 64 bits each for the anchor and its surroundings; of words in surroundings, 48.
+
+Defined results: an empty table, and texts shorter than the window, give no spans; rows that repeat are each
+other's copies; other columns are ignored.
 """
 
 from __future__ import annotations
