@@ -1,8 +1,8 @@
 """Suffix-tree deduplication of words: every word inside a run of `window` words that also starts elsewhere is removed.
 
 See `repeats`: suffixes are partitioned by a prefix, the anchor's run of words, and a partition that
-would not fit a task is split by longer prefixes, up to the whole window; in each one the nodes of its
-suffix tree that are deep enough, with what their members share to the left, give the repeats.
+would not fit a task is split by prefixes that grow until its parts do, up to the whole window; in each one the
+nodes of its suffix tree that are deep enough, with what their members share to the left, give the repeats.
 
 Words are runs of bytes that are not ASCII white space, unchanged. Defined results: a null text has no
 words; texts of fewer words than the window lose nothing; rows that repeat count as texts of their own.
@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessera.llm.common import BYTE_VALUE, Rolling, encoded, word_bounds
-from tessera.llm.repeats import Symbols, merged, repeated_spans
+from tessera.llm.repeats import Symbols, by_prefixes, merged, repeated_spans
 from tessera.llm.sieve import joined as with_spans
 from tessera.llm.suffix_array import keyed
 
@@ -37,7 +37,7 @@ def deduplicated(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", wi
 
     text is the input where nothing was removed; else its removed words are gone, with the white space after each."""
     rows = keyed(docs, doc_id, text, keep)
-    spans = repeated_spans(rows.where(F.octet_length("text") >= 2 * window - 1), Symbols(word_values, 6, window, run))
+    spans = repeated_spans(rows.where(F.octet_length("text") >= 2 * window - 1), Symbols(word_values, 6, window, run, by_prefixes))
     joined = with_spans(rows, spans).select("doc_id", *keep, "text", "spans")
     schema = joined.select("doc_id", *keep, "text").schema.add("n_words", "long").add("n_removed", "long").add("kept_sha256", "string")
 

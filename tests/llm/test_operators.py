@@ -5,7 +5,7 @@ import zlib
 
 import numpy as np
 import pytest
-from brute import components, corpus, edit_search, fingerprint, lower, removal, words
+from brute import components, corpus, covered, edit_search, fingerprint, lower, removal, words
 from pyspark.sql import functions as F
 
 from tessera.llm import components as graph
@@ -366,6 +366,37 @@ def test_repeats_match_brute_force(spark, group, seed, monkeypatch):
     assert multiset(found.collect()) == multiset((i, w[0], w[1], w[3]) for i, w in zip(ids, want))
 
 
+@pytest.mark.parametrize("group", [2, 1 << 15])
+def test_repeat_groups_hold_all_occurrences(spark, group, monkeypatch):
+    window = 40
+    monkeypatch.setattr(repeats.repeat_groups, "__defaults__", (group,))
+    texts = [t for t in corpus(13) if t]
+    data = [t.encode() for t in texts]
+    found = collections.defaultdict(list)
+    for r in suffix_array.repeats(documents(spark, texts), window=window, run=7).collect():
+        found[r["repeat"], r["length"]].append((r["doc_id"], r["place"]))
+    where = collections.defaultdict(list)
+    for k, d in enumerate(data):
+        for i in range(len(d) - window + 1):
+            where[d[i : i + window]].append((k, i))
+    inside, contents = [[False] * len(d) for d in data], set()
+    for (_, n), places in found.items():
+        k, i = places[0]
+        held = data[k][i : i + n]
+        contents.add(held)
+        assert sorted(places) == [(k, i) for k, i in where[held[:window]] if data[k][i : i + n] == held]
+        assert len(places) > 1 and n >= window
+        for k, i in places:
+            inside[k][i : i + n] = [True] * n
+    assert len(contents) == len(found)
+    assert inside == covered(data, window)
+    for held, places in where.items():
+        around = [{data[k][j] if 0 <= j < len(data[k]) else (k, i) for k, i in places for j in [i + step]} for step in (-1, window)]
+        if len(places) > 1 and all(len(x) > 1 for x in around):
+            assert held in contents
+    assert suffix_array.repeats(documents(spark, [])).count() == 0
+
+
 def test_repeats_leave_unique_text_alone(spark):
     texts = [" ".join(f"u{k}x{i}" for i in range(100)) for k in range(5)] + ["a\tb\n"]
     found = suffix_tree.deduplicated(documents(spark, texts), keep=("lang", "n_chars")).collect()
