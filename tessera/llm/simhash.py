@@ -29,7 +29,7 @@ import math
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tessera.llm.common import U64, encoded, mix, stored
@@ -152,12 +152,18 @@ def looked_up(distinct: DataFrame, segments: list[tuple[int, int]], radius: int)
 
 
 def wide_keys(distinct: DataFrame, bits: int) -> DataFrame:
-    """(key, node, fp) of each pair of bytes; fp is cut to the bits that measure distances."""
+    """(key, node, fp) of each pair of bytes; fp is cut to the bits that measure distances.
+
+    The pairs are rows to explode, not columns each: a plan of 96 expressions takes hundreds of MB in the driver."""
     size = bits // 8
-    byte = [F.shiftrightunsigned(F.element_at("fp", b // 8 + 1), 8 * (b % 8)).bitwiseAND(255) for b in range(size)]
     pairs = [(a, a ^ step) for step in PARTNERS for a in range(size) if a < a ^ step]
-    keys = F.array(*((byte[a] * 256 + byte[b]) * len(pairs) + s for s, (a, b) in enumerate(pairs)))
-    return distinct.select(F.explode(keys).alias("key"), "node", F.slice("fp", 1, SKETCH // 64).alias("fp"))
+    rows = distinct.select(F.posexplode(F.lit([a * size + b for a, b in pairs])).alias("s", "pair"), "node", "fp")
+
+    def byte(b: Column) -> Column:
+        return F.call_function("shiftrightunsigned", F.element_at("fp", F.shiftright(b, 3) + 1), b % 8 * 8).bitwiseAND(255)
+
+    key = (byte(F.floor(F.col("pair") / size).cast("int")) * 256 + byte(F.col("pair") % size)) * len(pairs) + F.col("s")
+    return rows.select(key.alias("key"), "node", F.slice("fp", 1, SKETCH // 64).alias("fp"))
 
 
 def bounded(rows: DataFrame) -> DataFrame:

@@ -34,7 +34,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tessera.llm.common import fold, stored
+from tessera.llm.common import fold, given_back, stored
 from tessera.llm.sieve import joined
 
 EXAMPLES, NEAREST, POSTING_BLOCK = 4096, 15, 64
@@ -249,6 +249,8 @@ def fitted(docs: DataFrame, labels: DataFrame, folds: int | None = None, example
     none = [toxic for _, toxic, counts in found if not len(counts[0])]
     sent = docs.sparkSession.sparkContext.broadcast((known, index))  # at most `examples` vectors
     model = Model(sent, index.ids, (sum(none) / (len(none) + 2)) if found else 0.0)
+    del read, known, counted, found, index
+    given_back()
 
     def votes(batches):
         terms, held = sent.value
