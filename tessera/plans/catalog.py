@@ -72,25 +72,35 @@ def dimensioned(axes: DataFrame, scales: DataFrame) -> DataFrame:
     its variables, by name, come to need them."""
     group, like = ["file", "path"], ["length", "unlimited"]
     known = scales.select("file", F.col("address").alias("reference"), F.col("name").alias("scale"))
-    found = axes.join(known, ["file", "reference"], "left")
+    # axes without a reference are most of them, and would all meet under one key
+    found = axes.where("reference is not null").join(known, ["file", "reference"], "left")
+    found = found.unionByName(axes.where("reference is null").withColumn("scale", F.lit(None).cast(known.schema["scale"].dataType)))
     alone = F.when((F.col("length") == 0) & ~F.col("unlimited"), F.concat_ws("/", "variable", F.col("axis").cast("string"))).otherwise("")
-    spare = found.where("scale is null").withColumn("alone", alone)
     kind = [*group, *like, "alone"]
+    spare = found.where("scale is null").select(*group, "variable", "axis", *like, alone.alias("alone"))
     spare = spare.withColumn("nth", F.row_number().over(Window.partitionBy(*kind, "variable").orderBy("axis")))
+    # a group's scales of a kind have places; a variable takes the nth of the places that it does not use already
+    local = scales.select(*group, *like, F.lit("").alias("alone"), "name", F.row_number().over(Window.partitionBy(*group, *like).orderBy("address")).alias("place"))
+    totals = local.groupBy(*kind).agg(F.count("*").alias("total"))
     used = found.where("scale is not null").select(*group, "variable", F.col("scale").alias("name")).distinct()
-    local = scales.select(*group, *like, "name", "address", F.lit("").alias("alone"))
-    free = spare.select(*kind, "variable").distinct().join(local, kind).join(used, [*group, "variable", "name"], "left_anti")
-    free = free.withColumn("nth", F.row_number().over(Window.partitionBy(*kind, "variable").orderBy("address")))
-    counts = free.groupBy(*kind, "variable").agg(F.count("*").alias("free"))
-    taken = spare.join(free.select(*kind, "variable", "nth", F.col("name").alias("taken")), [*kind, "variable", "nth"], "left").join(counts, [*kind, "variable"], "left")
-    taken = taken.withColumn("made", F.when(F.col("taken").isNull(), F.col("nth") - F.coalesce("free", F.lit(0))))
-    first = taken.where("made is not null").groupBy(*kind, "made").agg(F.min(F.struct("variable", "axis")).alias("first"))
-    order = Window.partitionBy("file").orderBy(F.concat("path", F.lit("/\U0010ffff")), "first")
-    start = scales.groupBy("file").agg(F.count("*").alias("start"))
-    numbered = first.withColumn("number", F.row_number().over(order) - 1).join(start, "file", "left")
-    numbered = numbered.select(*kind, "made", F.concat(F.lit("phony_dim_"), (F.col("number") + F.coalesce("start", F.lit(0))).cast("string")).alias("phony"))
-    named = taken.join(numbered, [*kind, "made"], "left").select(*group, "variable", "axis", *like, F.coalesce("taken", "phony").alias("dimension"))
-    return found.where("scale is not null").select(*group, "variable", "axis", *like, F.col("scale").alias("dimension")).union(named)
+    used = used.join(local, [*group, "name"]).groupBy(*kind, "variable").agg(F.sort_array(F.collect_list("place")).alias("used"))
+    place = F.aggregate(F.coalesce("used", F.array().cast("array<int>")), F.col("nth"), lambda at, taken: F.when(taken <= at, at + 1).otherwise(at))
+    placed = spare.join(used, [*kind, "variable"], "left").join(totals, kind, "left")
+    free = F.coalesce("total", F.lit(0)) - F.coalesce(F.size("used"), F.lit(0))
+    placed = placed.withColumn("made", F.when(F.col("nth") > free, F.col("nth") - free)).withColumn("place", F.when(F.col("made").isNull(), place))
+    columns = [*group, "variable", "axis", *like]
+    taken = placed.where("place is not null").join(local, [*kind, "place"]).select(*columns, F.col("name").alias("dimension"))
+    short = placed.where("made is not null")
+    first = short.groupBy(*kind, "made").agg(F.min(F.struct("variable", "axis")).alias("first"))
+    # numbered within each group, after all groups before it
+    last = F.concat("path", F.lit("/\U0010ffff"))
+    sizes = first.groupBy(*group).agg(F.count("*").alias("size"))
+    before = F.sum("size").over(Window.partitionBy("file").orderBy(last, "path").rowsBetween(Window.unboundedPreceding, -1))
+    starts = sizes.select(*group, F.coalesce(before, F.lit(0)).alias("before")).join(scales.groupBy("file").agg(F.count("*").alias("start")), "file", "left")
+    number = F.row_number().over(Window.partitionBy(*group).orderBy("first")) - 1 + F.col("before") + F.coalesce("start", F.lit(0))
+    numbered = first.join(starts, group).select(*kind, "made", F.concat(F.lit("phony_dim_"), number.cast("string")).alias("dimension"))
+    made = short.join(numbered, [*kind, "made"], "left").select(*columns, "dimension")
+    return found.where("scale is not null").select(*columns, F.col("scale").alias("dimension")).union(taken).union(made)
 
 
 def masked(cells: DataFrame, attributes: DataFrame) -> DataFrame:
