@@ -25,13 +25,41 @@ def unraveled(index: Column, shape: Sequence[int]) -> list[Column]:
     return out
 
 
-def coalesced(ranges: DataFrame, key: str, gap: int) -> DataFrame:
-    """(key, offset, length, parts): of each file, ranges merged where the gap to all before is at most `gap`."""
-    ordered = Window.partitionBy(key).orderBy("offset", "length")
-    reach = F.max(F.col("offset") + F.col("length")).over(ordered.rowsBetween(Window.unboundedPreceding, -1))
-    marked = ranges.withColumn("reach", reach).withColumn("opens", F.when(F.col("reach").isNull() | (F.col("offset") - F.col("reach") > gap), 1).otherwise(0))
-    runs = marked.withColumn("run", F.sum("opens").over(ordered))
-    return runs.groupBy(key, "run").agg(F.min("offset").alias("offset"), (F.max(F.col("offset") + F.col("length")) - F.min("offset")).alias("length"), F.count("*").alias("parts")).drop("run")
+#: Rows of a task that sorts; by so many tasks grow in number, not in size.
+TASK_ROWS = 1 << 19
+#: Bytes of a file whose ranges are sorted together.
+STRETCH = 1 << 26
+
+
+def spread(rows: DataFrame, n: int, *by: str) -> DataFrame:
+    """n rows, or fewer, dealt by the columns to tasks of about TASK_ROWS."""
+    return rows.repartition(max(rows.sparkSession.sparkContext.defaultParallelism, -(-n // TASK_ROWS)), *by)
+
+
+def coalesced(ranges: DataFrame, key: str, gap: int, width: int = STRETCH) -> DataFrame:
+    """(key, offset, length, parts): of each file, ranges merged where the gap to all before is at most `gap`.
+
+    Files are cut into stretches of `width` bytes, each given how far those before it reach. Only the first and the
+    last run of each stretch, which may go on in others, are brought together by file."""
+    end = F.col("offset") + F.col("length")
+    rows = ranges.select(key, "offset", "length", F.floor(F.col("offset") / width).alias("stretch"))
+    ends = rows.groupBy(key, "stretch").agg(F.max(end).alias("end"))
+    before = F.max("end").over(Window.partitionBy(key).orderBy("stretch").rowsBetween(Window.unboundedPreceding, -1))
+    carried = ends.select(key, "stretch", before.alias("end"), F.lit(0).alias("side")).where("end is not null")
+    both = rows.select(key, "stretch", end.alias("end"), F.lit(1).alias("side"), "offset", "length").unionByName(carried, allowMissingColumns=True)
+    stretch = Window.partitionBy(key, "stretch")
+    ordered = stretch.orderBy("side", "offset", "length")
+    reach = F.max("end").over(ordered.rowsBetween(Window.unboundedPreceding, -1))
+    opens = F.when((F.col("side") == 1) & (F.col("reach").isNull() | (F.col("offset") - F.col("reach") > gap)), 1).otherwise(0)
+    marked = spread(both, ranges.count(), key, "stretch").withColumn("reach", reach).withColumn("opens", opens)
+    # run 0 of a stretch goes on from before
+    runs = marked.withColumn("run", F.sum("opens").over(ordered)).where("side = 1").groupBy(key, "stretch", "run")
+    runs = runs.agg(F.min("offset").alias("offset"), F.max("end").alias("end"), F.count("*").alias("parts"))
+    runs = runs.withColumn("edge", (F.col("run") == 0) | (F.col("run") == F.max("run").over(stretch)))
+    opened = F.sum(F.when(F.col("run") > 0, 1).otherwise(0)).over(Window.partitionBy(key).orderBy("stretch", "run"))
+    edges = runs.where("edge").withColumn("opened", opened).groupBy(key, "opened").agg(F.min("offset").alias("offset"), F.max("end").alias("end"), F.sum("parts").alias("parts"))
+    found = runs.where("not edge").select(key, "offset", "end", "parts").union(edges.select(key, "offset", "end", "parts"))
+    return found.select(key, "offset", (F.col("end") - F.col("offset")).alias("length"), "parts")
 
 
 #: Gap and request size, in bytes, by where the files are.
@@ -65,7 +93,7 @@ def requests(ranges: DataFrame, key: str, gap: int, most: int) -> DataFrame:
 
     rows = ranges.select(key, F.col("offset").cast("long").alias("offset"), F.col("length").cast("long").alias("length"))
     schema = types.add("offset", "long").add("length", "long").add("parts", "long")
-    return rows.repartition(key).sortWithinPartitions(key, "offset", "length").mapInArrow(run, schema)
+    return spread(rows, ranges.count(), key).sortWithinPartitions(key, "offset", "length").mapInArrow(run, schema)
 
 
 def islands(pages: DataFrame, key: str, page: str) -> DataFrame:

@@ -1,6 +1,10 @@
 """What steps move and hold grows no faster than their input."""
 
-from tessera.plans import catalog
+import random
+
+import pytest
+
+from tessera.plans import catalog, ranges
 
 
 def stages(spark):
@@ -35,3 +39,37 @@ def test_dimensions_of_one_group_of_many_scales(spark):
         else:
             assert own == ["s0", "s1"]
     assert rows < 10 * (2 * n + m)
+
+
+def merged(rows, gap):
+    """Ranges merged one after the other, by file."""
+    out, last = [], {}
+    for file, offset, length in sorted(rows, key=lambda r: (str(r[0]), *r[1:])):
+        run = last.get(file)
+        if run and offset - run[2] <= gap:
+            run[2], run[3] = max(run[2], offset + length), run[3] + 1
+        else:
+            last[file] = run = [file, offset, offset + length, 1]
+            out.append(run)
+    return sorted(((f, low, high - low, n) for f, low, high, n in out), key=str)
+
+
+@pytest.mark.parametrize("width", [1, 50, 1000, 1 << 26])
+def test_ranges_are_merged_over_stretches(spark, width):
+    rng = random.Random(width)
+    rows = [(rng.choice(["a", "b", None]), rng.randrange(-500, 5000), rng.choice([0, 1, 5, 20, 900])) for _ in range(300)]
+    rows += [("long", 0, 3000)] + [("long", i * 40, 2) for i in range(100)] + [("alone", 7, 0)]
+    table = spark.createDataFrame(rows, "file string, offset long, length long")
+    for gap in (0, 7, 60):
+        assert sorted(map(tuple, ranges.coalesced(table, "file", gap, width).collect()), key=str) == merged(rows, gap)
+    assert ranges.coalesced(table.limit(0), "file", 7, width).count() == 0
+
+
+def test_ranges_of_one_file_spread_over_tasks(spark, monkeypatch):
+    monkeypatch.setattr(ranges, "TASK_ROWS", 1000, raising=False)
+    rows = spark.range(40_000).selectExpr("'f' AS file", "id * 8192 AS offset", "10L AS length")
+    before = {s.stageId() for s in stages(spark)}
+    assert ranges.coalesced(rows, "file", 0).count() == 40_000
+    tasks = [s for s in stages(spark) if s.stageId() not in before and s.shuffleReadRecords() >= 40_000]
+    assert max(s.numTasks() for s in tasks) >= 40
+    assert {r["file"] for r in ranges.requests(rows, "file", 0, 1).collect()} == {"f"}
