@@ -259,9 +259,7 @@ def q_record_1d(spark, sf_dir):
 
 @query(f"WITH {PLACED} SELECT path, event, event_id, user_id::INTEGER AS user_id, value FROM e")
 def q_record_2d_interleaved(spark, sf_dir):
-    found = event_files(spark, sf_dir)
-    each = [classic.cells(found, name, kind, ["event"]).withColumnRenamed("value", name) for name, kind in (("event_id", ">i8"), ("user_id", ">i4"), ("value", ">f8"))]
-    return each[0].join(each[1], ["path", "event"]).join(each[2], ["path", "event"])
+    return classic.together(event_files(spark, sf_dir), {"event_id": ">i8", "user_id": ">i4", "value": ">f8"}, ["event"])
 
 
 @query(f"WITH {PLACED} SELECT path, event, i AS strlen, substr(event_type, (i + 1)::INTEGER, 1) AS value FROM e, range(0, 12) t(i)")
@@ -447,17 +445,13 @@ def q_rollup(spark, sf_dir):
 
 @query("SELECT event_id, value FROM events")
 def q_union_files(spark, sf_dir):
-    found = event_files(spark, sf_dir)
-    ids = classic.cells(found, "event_id", ">i8", ["event"]).withColumnRenamed("value", "event_id")
-    return ids.join(classic.cells(found, "value", ">f8", ["event"]), ["path", "event"]).select("event_id", "value")
+    return classic.together(event_files(spark, sf_dir), {"event_id": ">i8", "value": ">f8"}, ["event"]).select("event_id", "value")
 
 
 @query("SELECT event_id FROM events WHERE event_id // 4096 <> 0 EXCEPT SELECT event_id FROM events WHERE value < 10")
 def q_except_files(spark, sf_dir):
-    found = event_files(spark, sf_dir)
-    ids = classic.cells(found, "event_id", ">i8", ["event"]).withColumnRenamed("value", "event_id")
-    both = ids.join(classic.cells(found, "value", ">f8", ["event"]), ["path", "event"])
-    return ids.where("path <> 'events-000000.nc'").select("event_id").subtract(both.where("value < 10").select("event_id"))
+    both = classic.together(event_files(spark, sf_dir), {"event_id": ">i8", "value": ">f8"}, ["event"])
+    return both.where("path <> 'events-000000.nc'").select("event_id").subtract(both.where("value < 10").select("event_id"))
 
 
 @query("WITH c AS (SELECT o_orderkey // 32 AS chunk, count(*) AS n FROM orders GROUP BY 1), s AS (SELECT o_orderkey AS start, 1 + o_custkey % 50 AS count FROM orders WHERE o_orderstatus = 'P') SELECT chunk, n FROM c WHERE EXISTS (SELECT 1 FROM s WHERE start < chunk * 32 + 32 AND start + count > chunk * 32)")
@@ -550,9 +544,7 @@ def q_nearest(spark, sf_dir):
 
 def event_values(spark, sf_dir):
     """(path, event, user_id, value) of the classic files of events."""
-    found = event_files(spark, sf_dir)
-    name = lambda variable, kind: classic.cells(found, variable, kind, ["event"]).withColumnRenamed("value", variable)
-    return name("user_id", ">i4").join(name("value", ">f8"), ["path", "event"])
+    return classic.together(event_files(spark, sf_dir), {"user_id": ">i4", "value": ">f8"}, ["event"])
 
 
 @query("SELECT user_id::INTEGER AS user_id FROM events WHERE value > 50 INTERSECT SELECT user_id FROM events WHERE value < 10")
@@ -595,10 +587,7 @@ def q_frames(spark, sf_dir):
 
 
 def timed_events(spark, sf_dir):
-    found = event_files(spark, sf_dir)
-    values = classic.cells(found, "value", ">f8", ["event"], coordinates=True)
-    users = classic.cells(found, "user_id", ">i4", ["event"]).withColumnRenamed("value", "user_id")
-    timed = values.join(users, ["path", "event"])
+    timed = classic.together(event_files(spark, sf_dir), {"value": ">f8", "user_id": ">i4"}, ["event"], coordinates=True)
     return timed.select("user_id", decoded_time(F.col("coord_event").cast("long"), "microseconds since 1970-01-01").alias("time"), "value")
 
 

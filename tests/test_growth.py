@@ -2,9 +2,13 @@
 
 import random
 
+import numpy as np
 import pytest
 
+from tessera import errors
 from tessera.plans import catalog, ranges
+from tessera.queries import QUERIES
+from tessera.sources import classic
 
 
 def stages(spark):
@@ -73,3 +77,17 @@ def test_ranges_of_one_file_spread_over_tasks(spark, monkeypatch):
     tasks = [s for s in stages(spark) if s.stageId() not in before and s.shuffleReadRecords() >= 40_000]
     assert max(s.numTasks() for s in tasks) >= 40
     assert {r["file"] for r in ranges.requests(rows, "file", 0, 1).collect()} == {"f"}
+
+
+def test_variables_of_a_file_are_read_in_one_pass(spark):
+    variables = [("event", [0], ">i8", {}, np.arange(5)), ("user", [0], ">i4", {}, np.arange(5) * 2), ("grid", [0, 1], ">f8", {}, np.arange(10).reshape(5, 2) / 4)]
+    content = classic.written(5, [("event", 0), ("level", 2)], {}, variables, 5)
+    found = spark.createDataFrame([("a.nc", content), ("b.nc", content)], "path string, content binary")
+    rows = sorted(map(tuple, classic.together(found, {"event": ">i8", "user": ">i4"}, ["e"]).collect()))
+    assert rows == [(p, i, i, 2 * i) for p in ("a.nc", "b.nc") for i in range(5)]
+    assert classic.cells(found, "event", ">i8", ["event"]).columns == ["path", "event", "value"]
+    assert int(spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch").rstrip("b")) <= 16 << 20
+    with pytest.raises(Exception, match=errors.TypeMismatch.__name__):
+        classic.together(found, {"event": ">i8", "grid": ">f8"}, ["event"]).collect()
+    plan = QUERIES["q_record_2d_interleaved"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("MapInArrow") == 1 and "Join" not in plan
