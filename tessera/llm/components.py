@@ -2,11 +2,50 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterable, Iterator
+
+import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessera.llm.common import stored
 
+#: Links that a task holds to find those that say nothing new.
+HELD = 1 << 18
+
+
+def star(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Links that connect what the links (a, b) do, one for each node but the least of its component: (least, node)."""
+    nodes, at = np.unique(np.concatenate([a, b]), return_inverse=True)
+    root, one, other = np.arange(len(nodes)), at[: len(a)], at[len(a) :]
+    while len(one):
+        low, high = np.minimum(root[one], root[other]), np.maximum(root[one], root[other])
+        np.minimum.at(root, high, low)
+        while (root != root[root]).any():
+            root = root[root]
+        apart = root[one] != root[other]
+        one, other = one[apart], other[apart]
+    left = np.flatnonzero(root != np.arange(len(root)))
+    return nodes[root[left]], nodes[left]
+
+
+def stars(found: Iterable[tuple[np.ndarray, np.ndarray]]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Links of several lists, each node's to the least one that it reaches within the task: groups that share
+    nodes give one link for each of those, not one for each group."""
+    one, other, n = [], [], 0
+    for a, b in found:
+        one.append(a)
+        other.append(b)
+        n += len(a)
+        if n > HELD:
+            a, b = star(np.concatenate(one), np.concatenate(other))
+            one, other, n = [a], [b], len(a)
+            if 2 * n > HELD:
+                yield a, b
+                one, other, n = [], [], 0
+    if n:
+        yield star(np.concatenate(one), np.concatenate(other))
+
 
 def components(links: DataFrame, left: str = "a", right: str = "b") -> DataFrame:
     """(node, root) for each node of a link between two different nodes; root is the least node reachable.

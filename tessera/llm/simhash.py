@@ -33,7 +33,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tessera.llm.common import U64, encoded, mix, stored
-from tessera.llm.components import components
+from tessera.llm.components import components, stars
 from tessera.llm.sieve import joined
 
 SEED = 42
@@ -134,8 +134,7 @@ def verified(keys: np.ndarray, nodes: np.ndarray, fps: np.ndarray, distance: int
         one += a
         other += b
     if one:
-        a, b = np.concatenate(one), np.concatenate(other)
-        yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], ["a", "b"])
+        yield np.concatenate(one), np.concatenate(other)
 
 
 def looked_up(distinct: DataFrame, segments: list[tuple[int, int]], radius: int) -> DataFrame:
@@ -190,7 +189,7 @@ def links(distinct: DataFrame, distance: int, bits: int = 64) -> DataFrame:
         rows = bounded(rows)
     held = min(bits, SKETCH) // 64
 
-    def run(batches):
+    def found(batches):
         keys, nodes, fps = np.empty(0, dtype=np.int64), np.empty(0, dtype=np.int64), np.empty((0, held), dtype=U64)
         for batch in itertools.chain(batches, [None]):
             if batch is not None and batch.num_rows:
@@ -203,7 +202,11 @@ def links(distinct: DataFrame, distance: int, bits: int = 64) -> DataFrame:
                 yield from verified(keys[:cut], nodes[:cut], fps[:cut], distance)
                 keys, nodes, fps = keys[cut:], nodes[cut:], fps[cut:]
 
-    return rows.repartition("key").sortWithinPartitions("key").mapInArrow(run, "a long, b long").where("a <> b").distinct()
+    def run(batches):
+        for a, b in stars(found(batches)):
+            yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], ["a", "b"])
+
+    return rows.repartition("key").sortWithinPartitions("key").mapInArrow(run, "a long, b long").distinct()
 
 
 def distance_of(similarity: float, bits: int = SKETCH) -> int:
@@ -248,7 +251,7 @@ def similar(texts: DataFrame, width: int, similarity: float) -> DataFrame:
     dealt = dealt.withColumn("with", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
     rows = dealt.select("root", F.least("own", "with").alias("low"), F.greatest("own", "with").alias("high"), "node", "text")
 
-    def run(batches):
+    def found(batches):
         group, nodes, sets = None, [], []
         for batch in itertools.chain(batches, [None]):
             read = [] if batch is None else zip(*(batch.column(i).to_pylist() for i in range(4)), encoded(batch.column(4)), strict=True)
@@ -256,12 +259,16 @@ def similar(texts: DataFrame, width: int, similarity: float) -> DataFrame:
                 if key != group:
                     if len(nodes) > 1:
                         a, b = alike(nodes, sets, similarity)
-                        yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
+                        yield np.array(a, dtype=np.int64), np.array(b, dtype=np.int64)
                     group, nodes, sets = key, [], []
                 if batch is not None:
                     nodes.append(node)
                     sets.append(np.unique(shingles(text, width)))
 
+    def run(batches):
+        for a, b in stars(found(batches)):
+            yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], ["a", "b"])
+
     names = ["root", "low", "high"]
     return rows.repartition(*names).sortWithinPartitions(*names).mapInArrow(run, "a long, b long").distinct()
 

@@ -6,6 +6,7 @@ import numpy as np
 import pytest
 
 from tessera import errors
+from tessera.llm import components, simhash
 from tessera.plans import catalog, ranges
 from tessera.queries import QUERIES
 from tessera.sources import classic
@@ -91,3 +92,38 @@ def test_variables_of_a_file_are_read_in_one_pass(spark):
         classic.together(found, {"event": ">i8", "grid": ">f8"}, ["event"]).collect()
     plan = QUERIES["q_record_2d_interleaved"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("MapInArrow") == 1 and "Join" not in plan
+
+
+@pytest.mark.parametrize("n", [300, 1200])
+def test_links_of_one_group_of_near_copies(spark, n):
+    rng = random.Random(n)
+    base, rows = rng.getrandbits(512), []
+    for node in rng.sample(range(1 << 40), n):
+        fp = base
+        for b in rng.sample(range(512), rng.randint(10, 60)):
+            fp ^= 1 << b
+        rows.append((node, [(fp >> 64 * w & (1 << 64) - 1) - (1 << 63) for w in range(8)]))
+    found = simhash.links(spark.createDataFrame(rows, "node long, fp array<long>"), simhash.distance_of(0.8), 512).collect()
+    assert all(r["a"] < r["b"] for r in found)
+    assert len({r["b"] for r in found}) == n - 1
+    assert len(found) < 8 * n
+
+
+def test_stars_connect_what_links_do(monkeypatch):
+    monkeypatch.setattr(components, "HELD", 20)
+    rng = np.random.default_rng(1)
+    for size in (10, 200, 2000):
+        lists = [rng.integers(0, size, (2, rng.integers(0, 30))) for _ in range(12)]
+
+        def roots(pairs):
+            root = {i: i for i in range(size)}
+            for a, b in pairs:
+                low, high = sorted((root[a], root[b]))
+                root = {i: low if r == high else r for i, r in root.items()}
+            return root
+
+        given = [tuple(p) for a, b in lists for p in zip(a.tolist(), b.tolist())]
+        found = [p for a, b in components.stars((a, b) for a, b in lists) for p in zip(a.tolist(), b.tolist())]
+        assert all(a < b for a, b in found)
+        assert roots(found) == roots(given)
+    assert list(components.stars([])) == []
